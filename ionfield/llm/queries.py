@@ -19,9 +19,70 @@ def op1_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> Dat
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .matroska import encode_texts, read_media
+
+    return read_media(encode_texts(_table(spark, sf_dir, "documents")))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import capture_histories
+
+    return capture_histories(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import crc_residue, identify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc_residue(F.col("doc_id"), 4) == 2
+    model = train(docs, ~held_out)
+    return identify(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_WARC_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), m AS (
+  SELECT payload_digest, max(page_id) AS response FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+       CASE WHEN m.response <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN m.response <> p.page_id THEN m.response END AS refers_to
+FROM p LEFT JOIN m USING (payload_digest)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts}
+    return {
+        "op1_token_counts": op1_token_counts,
+        "op2_matroska": op2_matroska,
+        "op3_warc": op3_warc,
+        "op4_simhash": op4_simhash,
+        "op7_language": op7_language,
+        "op8_packing": op8_packing,
+        "op10_decontaminate": op10_decontaminate,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": _WARC_SQL}
