@@ -37,6 +37,23 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.7) -> DataFrame:
+    from .langid import crc_residue
+    from .toxicity import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc_residue(F.col("doc_id"), 3) == 1
+    model = train(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    scored = score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import crc_residue, identify, train
 
@@ -52,6 +69,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_leaks
 
@@ -78,8 +101,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_matroska": op2_matroska,
         "op3_warc": op3_warc,
         "op4_simhash": op4_simhash,
+        "op5_toxicity": op5_toxicity,
+        "op6_main_text": op6_main_text,
         "op7_language": op7_language,
         "op8_packing": op8_packing,
+        "op9_secrets": op9_secrets,
         "op10_decontaminate": op10_decontaminate,
     }
 

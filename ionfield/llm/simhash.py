@@ -249,3 +249,24 @@ def near_duplicates(docs: DataFrame, sample_size: int = 65_536) -> DataFrame:
     over = materialize(linked.join(smallest, "component").select("fp", "smallest"), "components")
     of_fp = distinct.join(over, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
     return made.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Removed ids up to which they are broadcast (8 bytes each).
+BROADCAST_IDS = 500_000
+
+
+def keep_one(docs: DataFrame, sample_size: int = 65_536) -> DataFrame:
+    """docs, with all its columns, with one row of each component: that of the smallest doc_id.
+
+    Rows without an id cannot be told apart and stay; rows that repeat a kept id are one document."""
+    found = near_duplicates(docs, sample_size).select("doc_id", "component_id")
+    ids = materialize(found.groupBy("doc_id").agg(F.first("component_id").alias("component_id"), F.count("*").alias("n")), "members")
+    gone = ids.where("doc_id <> component_id").select("doc_id")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = ids.where("doc_id = component_id and n > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
