@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import q_spatial
+
+QUERIES: dict = dict(q_spatial.Q)
+ORACLE_SQL: dict = dict(q_spatial.SQL)
