@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_spatial
+from . import q_niches, q_spatial
 
-QUERIES: dict = dict(q_spatial.Q)
-ORACLE_SQL: dict = dict(q_spatial.SQL)
+_FAMILIES = (q_spatial, q_niches)
+
+QUERIES: dict = {name: f for family in _FAMILIES for name, f in family.Q.items()}
+ORACLE_SQL: dict = {name: sql for family in _FAMILIES for name, sql in family.SQL.items()}
