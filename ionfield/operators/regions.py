@@ -243,6 +243,9 @@ def region_polygons(pixels: DataFrame, keys=("section_id", "roi_id")) -> DataFra
     ring inside another one is a hole.  A region's outline is stitched in one task."""
     import pandas as pd
 
+    from ..storage import ship_package
+
+    ship_package(pixels.sparkSession)
     names = list(keys)
 
     def stitch(key, pdf):

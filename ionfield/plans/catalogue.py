@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_niches, q_regions, q_spatial
+from . import q_differential, q_niches, q_regions, q_spatial
 
-_FAMILIES = (q_spatial, q_niches, q_regions)
+_FAMILIES = (q_spatial, q_niches, q_regions, q_differential)
 
 QUERIES: dict = {name: f for family in _FAMILIES for name, f in family.Q.items()}
 ORACLE_SQL: dict = {name: sql for family in _FAMILIES for name, sql in family.SQL.items()}
