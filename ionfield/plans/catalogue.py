@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_clustering, q_differential, q_matching, q_niches, q_regions, q_spatial
+from . import q_clustering, q_differential, q_labels, q_matching, q_niches, q_regions, q_spatial
 
-_FAMILIES = (q_spatial, q_niches, q_regions, q_differential, q_matching, q_clustering)
+_FAMILIES = (q_spatial, q_niches, q_regions, q_differential, q_matching, q_clustering, q_labels)
 
 QUERIES: dict = {name: f for family in _FAMILIES for name, f in family.Q.items()}
 ORACLE_SQL: dict = {name: sql for family in _FAMILIES for name, sql in family.SQL.items()}

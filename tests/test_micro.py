@@ -361,3 +361,52 @@ def test_formulas(spark):
     assert [r[0] for r in df.select(ex.format_formula(ex.parse_formula(F.col("f")))).collect()] == ["C2H6O", "H2O"]
     assert [r[0] for r in df.select(ex.add_hydrogen(F.col("f"), -3)).collect()] == ["C2H3O", None]
     assert math.isclose(spark.range(1).select(ex.normalized_logistic(F.lit(1.0))).first()[0], 1.0)
+
+
+# --- images, labels, workflows
+
+
+def test_watershed_parts_touching_nuclei():
+    from ionfield.operators import images
+
+    y, x = np.mgrid[0:24, 0:34]
+    grey = np.full((24, 34), 200.0)
+    for cx in (10, 20):
+        grey[(y - 12) ** 2 + (x - cx) ** 2 <= 36] = 30.0
+    found = images.segment_nuclei(grey)
+    assert sorted(round(o["x"]) for o in found) == [10, 20]
+    ring = np.zeros((7, 7), bool)
+    ring[1:6, 1:6] = True
+    ring[3, 3] = False
+    assert images.fill_holes(ring).sum() == 25 and images.label_components(~ring).max() == 2
+    assert images.flood(ring, (1, 1)).sum() == 24 and not images.flood(ring, (3, 3)).any()
+
+
+def test_label_contracts(spark):
+    from ionfield.operators import labels
+
+    px = grid(spark, 2, 2)
+    with pytest.raises(ValueError):
+        labels.apply_roi_labels(px, spark.createDataFrame([(0, "a"), (0, "b")], "pixel_id long, roi_id string"))
+    with pytest.raises(ValueError):
+        labels.validate_labels(spark.createDataFrame([(0, 0, "a"), (0, 0, "b")], "x long, y long, label string"))
+    assert labels.detect_result(["Name", "VIP score"]) == "vip" and labels.detect_result(["PC1"]) == "pca_scores" and labels.detect_result(["x"]) == "unknown"
+
+
+def test_circular_tests_are_refused(spark):
+    from ionfield.operators import workflows
+
+    with pytest.raises(ValueError):
+        workflows.analyze_distance_gradient(long_of(spark, [(0, 1.0)]), grid(spark, 2, 2).withColumn("domain", F.lit("t")), "t", 1, 1, "subject_id", domain_features=["mz_1"])
+
+
+def test_code_first_pipeline(spark, tmp_path):
+    from ionfield.operators import workflows
+
+    f = tmp_path / "p.csv"
+    f.write_text("x,y,100,150,200,250,300\n" + "".join(f"{x},{y},{x + 0.1 * y},1,2,3,{0 if x else 4}\n" for x in range(4) for y in range(4)))
+    out = workflows.run_pipeline(spark, str(f))
+    qc = out.tables["qc"].first()
+    assert (qc["n_pixels"], qc["n_kept"], qc["n_features"]) == (16, 16, 5)
+    assert out.tables["matrix"].groupBy("pixel_id").agg(F.sum(F.pow(F.lit(10.0), "value") - 1).alias("s")).where("abs(s - 1) > 1e-9").isEmpty()
+    assert out.tables["features"].where("mz = 150").count() == 1
