@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, near-dedup, decontamination, secret redaction, packing.
 
 Each stage reads what its predecessor wrote.  Language ID drops documents whose language it cannot tell
-(no letters, or a pooled probability below one half); near-dedup keeps the smallest doc_id of each group;
+(no letters, or a pooled probability below 0.3, as documents in two languages are clean); near-dedup keeps the smallest doc_id of each group;
 decontamination drops documents that hold a benchmark item; secret scans replace every found span; packing
 cuts all that is left into sequences and returns their pieces.
 """

@@ -290,7 +290,7 @@ def _keep(shared, at: int, least: float):
     return run
 
 
-def keep_identified(docs: DataFrame, model: ByteGRU | None, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: ByteGRU | None, least: float = 0.3) -> DataFrame:
     """Rows, with all their columns, whose language is known with a pooled probability of ``least`` or more."""
     ship_package(docs.sparkSession)
     return docs.mapInArrow(_keep(Shared(docs.sparkSession, model), docs.columns.index("text"), least), docs.schema)
