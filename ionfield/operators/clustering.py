@@ -142,13 +142,53 @@ def cluster_pixels_hmrf(long: DataFrame, edges: DataFrame, k: int = 3, beta: flo
     return rows.groupBy("section_id").applyInPandas(smooth, "section_id string, pixel_id long, cluster int")
 
 
-def silhouette(vectors: DataFrame, labels: DataFrame, max_subsample: int = 2000) -> DataFrame:
+SILHOUETTE_BLOCK = 2048
+
+
+def _silhouette_sums(rows: DataFrame) -> DataFrame:
+    """(a, la, lb, d): mean distance of every row to the rows of every cluster but itself.  Rows are packed in
+    blocks, and every pair of blocks is one distance matrix, so pairs of rows are never rows of a table."""
+    ship_package(rows.sparkSession)
+    n_blocks = -(-rows.count() // SILHOUETTE_BLOCK) or 1
+    packed = rows.groupBy(F.pmod(F.xxhash64("pixel_id"), F.lit(n_blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("pixel_id", "v", "cluster")).alias("r"))
+    packed = packed.select("block", F.col("r.pixel_id").alias("pixel_id"), F.col("r.cluster").alias("cluster"), F.flatten("r.v").alias("v"))
+    # Every block against every block, dealt by both numbers.
+    left = packed.toDF("i", "ids", "ca", "va").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    pairs = left.join(packed.select(F.col("block").alias("j"), F.col("cluster").alias("cb"), F.col("v").alias("vb")), "j").repartition("i", "j").select("i", "j", "ids", "ca", "va", "cb", "vb")
+
+    def distances(batches):
+        for pdf in batches:
+            for p in pdf.itertuples(index=False):
+                x, y = np.asarray(p.va).reshape(len(p.ca), -1), np.asarray(p.vb).reshape(len(p.cb), -1)
+                squares = np.zeros((len(x), len(y)))
+                for f in range(x.shape[1]):
+                    squares += (x[:, f, None] - y[None, :, f]) ** 2
+                names, at = np.unique(p.cb, return_inverse=True)
+                member = np.eye(len(names))[at]
+                total, count = np.sqrt(squares) @ member, np.tile(member.sum(0), (len(x), 1))
+                if p.i == p.j:  # the row itself, at distance 0
+                    count[np.asarray(p.ca)[:, None] == names] -= 1
+                k = len(names)
+                yield pd.DataFrame({"a": np.repeat(p.ids, k), "la": np.repeat(p.ca, k), "lb": np.tile(names, len(x)), "total": total.ravel(), "n": count.ravel()})
+
+    sums = pairs.mapInPandas(distances, "a long, la int, lb int, total double, n double")
+    return sums.groupBy("a", "la", "lb").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).select("a", "la", "lb", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("d"))
+
+
+def silhouette(vectors: DataFrame, labels: DataFrame, max_subsample: int | None = 2000) -> DataFrame:
     """One row: mean Euclidean silhouette over at most ``max_subsample`` pixels (the operator's own bound; the
-    sample is those of smallest hash, and its pairs are what the statistic is defined on)."""
-    rows = vectors.join(labels, "pixel_id").orderBy(F.xxhash64("pixel_id"), "pixel_id").limit(max_subsample).select("pixel_id", "v", "cluster")
+    sample is those of smallest hash, and its pairs are what the statistic is defined on), or over all for None."""
+    rows = vectors.join(labels, "pixel_id").select("pixel_id", "v", "cluster")
+    if max_subsample is None:
+        return _mean_silhouette(_silhouette_sums(rows))
+    rows = rows.orderBy(F.xxhash64("pixel_id"), "pixel_id").limit(max_subsample)
     a, b = rows.toDF("a", "va", "la"), F.broadcast(rows.toDF("b", "vb", "lb"))
     d = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     mean = a.join(b, F.col("a") != F.col("b")).withColumn("d", d).groupBy("a", "la", "lb").agg(F.avg("d").alias("d"))
+    return _mean_silhouette(mean)
+
+
+def _mean_silhouette(mean: DataFrame) -> DataFrame:
     s = mean.groupBy("a").agg(F.max(F.when(F.col("la") == F.col("lb"), F.col("d"))).alias("own"), F.min(F.when(F.col("la") != F.col("lb"), F.col("d"))).alias("other"))
     value = F.when(F.col("own").isNull() | F.col("other").isNull(), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other", F.lit(EPS)))
     return s.agg(F.avg(value).alias("silhouette"), F.count("*").alias("n"))

@@ -84,6 +84,12 @@ def _(spark, sf):
     return clustering.silhouette(vectors, _given(spark, sf))
 
 
+@query("silhouette_all")
+def _(spark, sf):
+    vectors = clustering.to_vectors(p2(spark, sf), keys=("pixel_id",))
+    return clustering.silhouette(vectors, _given(spark, sf), None)
+
+
 @query("define_niches")
 def _(spark, sf):
     rows = niches.composition(p2_pixels(spark, sf), "radius", 1.5)
