@@ -23,17 +23,17 @@ def query(name: str, sql: str | None = None, digits: int = 6):
 
 @query("kmeans_domains")
 def _(spark, sf):
-    return clustering.cluster_pixels(p2(spark, sf, 16), 4)
+    return clustering.cluster_pixels(p2(spark, sf), 4)
 
 
 @query("pca_kmeans")
 def _(spark, sf):
-    return clustering.cluster_pixels(p2(spark, sf, 16), 4, pca_components=5)
+    return clustering.cluster_pixels(p2(spark, sf), 4, pca_components=5)
 
 
 @query("spatial_kmeans")
 def _(spark, sf):
-    return clustering.cluster_pixels(p2(spark, sf, 8), 4, edges=graph.lattice_edges(p2_pixels(spark, sf), "queen"))
+    return clustering.cluster_pixels(p2(spark, sf), 4, edges=graph.lattice_edges(p2_pixels(spark, sf), "queen"))
 
 
 @query("h0_augmented", f"""WITH {P2}, {ROOK2}, b AS (SELECT src, dst FROM rook2 UNION ALL SELECT dst, src FROM rook2), f AS (SELECT * FROM p2 WHERE feature IN ('mz_101','mz_102')),
@@ -68,12 +68,12 @@ def _(spark, sf):
 
 @query("potts_icm")
 def _(spark, sf):
-    return clustering.cluster_pixels_hmrf(p2(spark, sf, 8), graph.lattice_edges(p2_pixels(spark, sf), "rook"), 3, 0.5)
+    return clustering.cluster_pixels_hmrf(p2(spark, sf), graph.lattice_edges(p2_pixels(spark, sf), "rook"), 3, 0.5)
 
 
 @query("cluster_diagnostics")
 def _(spark, sf):
-    return clustering.cluster_diagnostics(p2(spark, sf, 8), 4)
+    return clustering.cluster_diagnostics(p2(spark, sf), 4)
 
 
 @query("silhouette_given", f"""WITH {P2}, {GIVEN}, v AS (SELECT pixel_id, max(value) FILTER (feature = 'mz_101') AS a, max(value) FILTER (feature = 'mz_102') AS b FROM p2 WHERE feature IN ('mz_101','mz_102') AND pixel_id < 300 GROUP BY 1),

@@ -96,7 +96,7 @@ def _(spark, sf):
 
 @query("distance_gradient")
 def _(spark, sf):
-    long = p2(spark, sf, 3).withColumn("subject_id", F.col("pixel_id") % 6)
+    long = p2(spark, sf).withColumn("subject_id", F.col("pixel_id") % 6)
     return workflows.analyze_distance_gradient(long, p2_pixels(spark, sf), "d3", 50, 25, "subject_id").tables["contrasts"]
 
 

@@ -278,3 +278,37 @@ SELECT h.feature, round(any_value(threshold), 6) AS threshold, count(*) FILTER (
 FROM h JOIN t USING (feature) LEFT JOIN hb USING (feature) GROUP BY 1""")
 def _(spark, sf):
     return svg.binspect(*_small(spark, sf)).drop("mean_low")
+
+
+# The same operators on every feature and with the reference's permutations, which the SQL above does not take.
+ALL_PERM = 199
+
+
+def _whole(spark, sf):
+    return p2(spark, sf), graph.lattice_edges(p2_pixels(spark, sf), "rook")
+
+
+@query("neighborhood_average_all")
+def _(spark, sf):
+    return graph.neighborhood_average(*_whole(spark, sf))
+
+
+@query("moran_perm_all")
+def _(spark, sf):
+    return svg.autocorrelation(*_whole(spark, sf), "moran", ALL_PERM).select("feature", "statistic", "p_value")
+
+
+@query("geary_perm_all")
+def _(spark, sf):
+    return svg.autocorrelation(*_whole(spark, sf), "geary", ALL_PERM).select("feature", "statistic", "p_value")
+
+
+@query("compare_svg_all")
+def _(spark, sf):
+    a = svg.autocorrelation(*_whole(spark, sf), "moran", ALL_PERM)
+    return svg.compare_methods(a, svg.autocorrelation(*_whole(spark, sf), "geary", ALL_PERM))
+
+
+@query("binspect_all")
+def _(spark, sf):
+    return svg.binspect(*_whole(spark, sf)).drop("mean_low")
