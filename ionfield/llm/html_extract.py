@@ -9,8 +9,10 @@ removed, on hosts with enough pages.
 
 Importance alone cannot tell a random menu from a random article, so two sets of fixed rules stand beside it:
 elements whose tag, role, class or id says menu, header, footer, sidebar, notice, advert, form, script, style
-or reader comment go always; what is inside an article or main element is never judged by importance, and
-where a page has such an element, only it is extracted.
+or reader comment go always, and where a page has an article or main element, only it is extracted.  Branches
+inside it are judged by importance too, with every distinct article counted once, so that copies of an article
+don't make it a template; such a branch goes only if its very text is repeated on the host, and an article that
+would lose over half of its text stays whole.
 
 Defined results: null or empty html gives an empty text; null urls form one host; null page_ids and repeated
 rows are kept; unclosed elements end where their parent does; an empty table gives an empty result; other
@@ -179,15 +181,20 @@ def blocks(node: Node, allowed=None) -> list[str]:
 
 
 def _elements(root: Node):
-    """(node, path) of the kept elements outside main elements, parents first."""
-    stack = [(root, 0)]
+    """(node, path, outermost main element or None) of the kept elements, parents first."""
+    stack = [(root, 0, None)]
     while stack:
-        node, path = stack.pop()
+        node, path, top = stack.pop()
         for child in node.children:
-            if isinstance(child, Node) and child.kept and not child.main:
+            if isinstance(child, Node) and child.kept:
                 here = zlib.crc32(child.label.encode(), path)
-                yield child, here
-                stack.append((child, here))
+                main = top or (child if child.main else None)
+                yield child, here, main
+                stack.append((child, here, main))
+
+
+def _hash(node: Node) -> int:
+    return zlib.crc32("\n".join(blocks(node)).encode())
 
 
 def _mains(root: Node) -> list[Node]:
@@ -210,58 +217,78 @@ def _inner(node: Node) -> list[Node]:
     return [c for c in node.children if isinstance(c, Node) and c.kept]
 
 
-def style_rows(page: str | None) -> list[tuple[int, int, int]]:
-    """(path, presentation, content) hashes of a page's style nodes outside main elements."""
-    rows = []
-    for node, path in _elements(parse(page or "")):
+def style_rows(page: str | None) -> list[tuple[int, int, int, int]]:
+    """(path, presentation, content, article) hashes of a page's style nodes; article is -1 outside main elements."""
+    rows, articles = [], {None: -1}
+    for node, path, top in _elements(parse(page or "")):
         tags = ",".join(c.label for c in _inner(node))
-        rows.append((path, zlib.crc32(tags.encode()), zlib.crc32("\n".join(blocks(node)).encode())))
+        content = _hash(node)
+        if node is top:
+            articles[top] = content
+        rows.append((path, zlib.crc32(tags.encode()), content, articles[top]))
     return rows
 
 
-def extract(page: str | None, importance: dict[int, tuple[float, float]] | None = None) -> str:
-    """The page's main text; importance maps a style path to (presentation, content) importance."""
+def _composites(seen: list, importance: dict) -> set[Node]:
+    """Elements of little importance whose whole text is mostly repeated."""
+    composite: dict[Node, float] = {}
+    out = set()
+    for node, path, _ in reversed(seen):  # children before parents
+        presentation, content, _ = importance.get(path, (1.0, 1.0, ()))
+        inner = [composite[c] for c in _inner(node) if c in composite]
+        if inner:
+            g = DAMPING ** len(inner)
+            composite[node] = (1 - g) * presentation + g * sum(inner) / len(inner)
+        else:
+            composite[node] = content
+        if composite[node] < LEAST_IMPORTANCE and content < 0.5:
+            out.add(node)
+    return out
+
+
+def _article(main: Node, removed: set[Node]) -> list[str]:
+    """Texts of a main element without its removed branches; all where these are over half of it."""
+    whole = blocks(main)
+    rest = blocks(main, removed) if removed else whole
+    return rest if 2 * sum(map(len, rest)) >= sum(map(len, whole)) else whole
+
+
+def extract(page: str | None, importance: dict | None = None) -> str:
+    """The page's main text; importance maps a style path to (presentation, content, hashes of repeated texts)."""
     root = parse(page or "")
     mains = _mains(root)
+    if not importance:
+        return "\n".join(b for m in mains or [root] for b in blocks(m))
+    seen = list(_elements(root))
     if mains:
-        return "\n".join(b for m in mains for b in blocks(m))
-    removed = set()
-    if importance:
-        seen = list(_elements(root))
-        composite: dict[Node, float] = {}
-        repeated: dict[Node, bool] = {}
-        for node, path in reversed(seen):  # children before parents
-            presentation, content = importance.get(path, (1.0, 1.0))
-            repeated[node] = content < 0.5
-            inner = [composite[c] for c in _inner(node) if c in composite]
-            if inner:
-                g = DAMPING ** len(inner)
-                composite[node] = (1 - g) * presentation + g * sum(inner) / len(inner)
-            else:
-                composite[node] = content
-        removed = {node for node, value in composite.items() if value < LEAST_IMPORTANCE and repeated[node]}
-    return "\n".join(blocks(root, removed))
+        inside = [e for e in seen if e[2] is not None]
+        low = _composites(inside, importance)
+        removed = {n for n, path, top in inside if n in low and n is not top and _hash(n) in importance.get(path, (1.0, 1.0, ()))[2]}
+        return "\n".join(b for m in mains for b in _article(m, removed))
+    return "\n".join(blocks(root, _composites(seen, importance)))
 
 
 def _styles(batches):
     for batch in batches:
         rows = [(host_of(u), *r) for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in style_rows(h)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3))], names=["host", "path", "presentation", "content"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3, 4))], names=["host", "path", "presentation", "content", "article"])
 
 
 def style_tree(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, path, presentation, content) importances of style nodes seen at least ``least_pages`` times.
+    """(host, path, presentation, content, texts) importances and repeated texts of style nodes seen at least ``least_pages`` times.
 
     Importance is 1 minus the share of the largest possible entropy that copies make up: a value seen n times
     among m occurrences takes n / m * log n / log m.  Counts are pre-aggregated before each shuffle."""
     ship_package(pages.sparkSession)
-    rows = pages.select("url", "html").mapInArrow(_styles, "host string, path long, presentation long, content long")
-    each = rows.select("host", "path", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("presentation").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("v"))
-    counts = each.groupBy("host", "path", "v").agg(F.count("*").alias("n"))
+    rows = pages.select("url", "html").mapInArrow(_styles, "host string, path long, presentation long, content long, article long")
+    # Copies of an article count once.
+    rows = rows.groupBy("host", "path", "presentation", "content", "article").agg(F.count("*").alias("n")).withColumn("n", F.when(F.col("article") < 0, F.col("n")).otherwise(1))
+    each = rows.select("host", "path", "n", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("presentation").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("v"))
+    counts = each.groupBy("host", "path", "v").agg(F.sum("n").alias("n"))
     first, second = (F.sum(F.when(F.col("v.kind") == k, F.col("n") * F.log("n"))) for k in (0, 1))
     m = F.sum(F.when(F.col("v.kind") == 0, F.col("n")))
-    node = counts.groupBy("host", "path").agg(m.alias("m"), first.alias("a"), second.alias("b")).where(F.col("m") >= least_pages)
-    return node.select("host", "path", (1 - F.col("a") / (F.col("m") * F.log("m"))).alias("presentation"), (1 - F.col("b") / (F.col("m") * F.log("m"))).alias("content"))
+    node = counts.groupBy("host", "path").agg(m.alias("m"), first.alias("a"), second.alias("b"), F.collect_list(F.when((F.col("v.kind") == 1) & (F.col("n") >= least_pages), F.col("v.value"))).alias("texts")).where(F.col("m") >= least_pages)
+    return node.select("host", "path", (1 - F.col("a") / (F.col("m") * F.log("m"))).alias("presentation"), (1 - F.col("b") / (F.col("m") * F.log("m"))).alias("content"), "texts")
 
 
 def _out(batch, ids, urls, texts):
@@ -280,7 +307,7 @@ def _extract_broadcast(shared):
 
 def _extract_joined(batches):
     for batch in batches:
-        texts = [extract(h, {p: (a, b) for p, a, b in zip(x["paths"], x["presentation"], x["content"], strict=True)} if x else None) for h, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        texts = [extract(h, {p: (a, b, t) for p, a, b, t in zip(x["paths"], x["presentation"], x["content"], x["texts"], strict=True)} if x else None) for h, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield _out(batch, batch.column(0), batch.column(1), texts)
 
 
@@ -295,9 +322,9 @@ def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataF
     if tree.count() <= BROADCAST_NODES:
         by_host: dict[str, dict[int, tuple[float, float]]] = {}
         for r in tree.collect():
-            by_host.setdefault(r["host"], {})[r["path"]] = (r["presentation"], r["content"])
+            by_host.setdefault(r["host"], {})[r["path"]] = (r["presentation"], r["content"], frozenset(r["texts"]))
         return pages.mapInArrow(_extract_broadcast(Shared(spark, by_host)), schema)
-    per_host = tree.groupBy("host").agg(F.struct(F.collect_list("path").alias("paths"), F.collect_list("presentation").alias("presentation"), F.collect_list("content").alias("content")).alias("x"))
+    per_host = tree.groupBy("host").agg(F.struct(F.collect_list("path").alias("paths"), F.collect_list("presentation").alias("presentation"), F.collect_list("content").alias("content"), F.collect_list("texts").alias("texts")).alias("x"))
     host = F.lower(F.element_at(F.split(F.element_at(F.split(F.coalesce("url", F.lit("")), "://", 2), -1), "[/?]", 2), 1))
     return pages.withColumn("host", host).join(per_host, "host", "left").select("page_id", "url", "html", "x").mapInArrow(_extract_joined, schema)
 
