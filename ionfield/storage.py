@@ -18,20 +18,22 @@ _SHIPPED: set[str] = set()
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a new temporary one only where none is configured."""
+    """The shared folder of the session; a new temporary one only where none is configured and all runs on one machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="ionfield-checkpoint-")
         spark.sparkContext.setCheckpointDir(f"file://{root}")
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again; removed when the JVM ends."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/ionfield-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     jvm = spark.sparkContext._jvm
     parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
     parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(parent)
