@@ -5,8 +5,8 @@ Clusters of SimpleBlocks with laced frames, and Cues.  ``packets`` parses variab
 Clusters, BlockGroups, all four kinds of lacing and Cues into a packet table with tracks, timestamps and
 byte ranges.  Elements of unknown size, Void and CRC-32 elements and elements of unknown id are handled.
 
-The query appends zero bytes up to a positive multiple of 64, writes the media column, reads the payload
-back through the packet table's byte ranges and computes its features from what it read.
+The query appends zero bytes up to a positive multiple of 64, writes the media column to a table in the shared
+folder, reads the payload back through the packet table's byte ranges and computes its features from what it read.
 
 Defined results: null text counts as empty (64 zero bytes are stored); null ids and repeated rows are kept;
 an empty table gives an empty result; other columns are ignored; texts of any length are stored whole.
@@ -23,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..storage import ship_package
+from ..storage import materialize, ship_package
 
 # Element ids of the format: fixed values.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TIMESTAMP_SCALE, DURATION, TRACK_ENTRY, TRACK_NUMBER, CLUSTER_TIMESTAMP = 0x2AD7B1, 0x4489, 0xAE, 0xD7, 0xE7
-SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_CLUSTER = 0xA3, 0xA0, 0xA1, 0xBB, 0xB3, 0xB7, 0xF1
+SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_CLUSTER, REFERENCE = 0xA3, 0xA0, 0xA1, 0xBB, 0xB3, 0xB7, 0xF1, 0xFB
 SAMPLING, BIT_DEPTH, CHANNELS, AUDIO, CODEC_ID, TRACK_TYPE, TRACK_UID = 0xB5, 0x6264, 0x9F, 0xE1, 0x86, 0x83, 0x73C5
 MASTERS = {SEGMENT, INFO, TRACKS, CLUSTER, CUES, TRACK_ENTRY, AUDIO, BLOCK_GROUP, CUE_POINT, CUE_POSITIONS}
 TOP_LEVEL = {CLUSTER, CUES, INFO, TRACKS, 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469}
@@ -155,7 +155,7 @@ def packets(data: bytes) -> tuple[list[Packet], list[tuple[int, int]], dict[int,
     leaves: dict[int, bytes] = {}
     segment = base = 0
     cue = [0, 0]
-    group: list[Packet] = []
+    first, referring = 0, False  # the open block group: its first packet, whether it refers to another block
     stack = [(0, len(data), 0)]
     while stack:
         at, end, parent = stack.pop()
@@ -171,6 +171,8 @@ def packets(data: bytes) -> tuple[list[Packet], list[tuple[int, int]], dict[int,
                 if ident == CLUSTER and size < 0:
                     stop = _cluster_end(data, body, end)
                 stack.append((stop, end, parent))
+                if ident == BLOCK_GROUP:
+                    first, referring = len(out), False
                 at, end, parent = body, stop, ident
                 continue
             if ident == CLUSTER_TIMESTAMP:
@@ -178,10 +180,10 @@ def packets(data: bytes) -> tuple[list[Packet], list[tuple[int, int]], dict[int,
             elif ident == SIMPLE_BLOCK:
                 out += _block(data, body, stop, base, None)
             elif ident == BLOCK:
-                out += _block(data, body, stop, base, True)
-            elif ident == 0xFB and parent == BLOCK_GROUP and out:  # a reference: not a key frame
-                group = [p._replace(keyframe=False) for p in out if p.start + p.size <= body and p.timestamp == out[-1].timestamp]
-                out[len(out) - len(group) :] = group
+                out += _block(data, body, stop, base, not referring)
+            elif ident == REFERENCE and parent == BLOCK_GROUP:  # before or after the group's block: not a key frame
+                out[first:] = [p._replace(keyframe=False) for p in out[first:]]
+                referring = True
             elif ident == CUE_TIME:
                 cue[0] = int.from_bytes(data[body:stop], "big")
             elif ident == CUE_CLUSTER:
@@ -254,6 +256,11 @@ def _read(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_packets", "n_cues"])
 
 
+def store_media(media: DataFrame) -> DataFrame:
+    """The media column as a table in the shared folder, read again."""
+    return materialize(media, "media", "zstd")
+
+
 def read_media(media: DataFrame) -> DataFrame:
     """Digests and features of the payloads of (doc_id, n_bytes, media), read through their packet tables."""
     ship_package(media.sparkSession)

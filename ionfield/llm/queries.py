@@ -20,9 +20,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> Dat
 
 
 def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .matroska import encode_texts, read_media
+    from .matroska import encode_texts, read_media, store_media
 
-    return read_media(encode_texts(_table(spark, sf_dir, "documents")))
+    return read_media(store_media(encode_texts(_table(spark, sf_dir, "documents"))))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,21 @@ def test_packet_table_and_empty(spark):
     media = m.encode_texts(docs_frame(spark, [(1, "x" * 5000)]))
     assert m.packet_table(media).count() == 5
     assert m.read_media(m.encode_texts(docs_frame(spark, []))).collect() == []
+
+
+def test_a_reference_concerns_only_its_own_group():
+    """Tracks that share a timestamp, a reference before and after its block, and blocks after a group."""
+    delta = lambda *parts: m.element(m.BLOCK_GROUP, b"".join(parts))
+    block = lambda body, track, time: m.element(m.BLOCK, _block(0x00, body, track, time))
+    simple = lambda body, track, time: m.element(m.SIMPLE_BLOCK, _block(0x80, body, track, time))
+    reference = m.unsigned(m.REFERENCE, 1)
+    inner = m.unsigned(m.CLUSTER_TIMESTAMP, 0) + simple(b"k2", 2, 5) + delta(block(b"d1", 1, 5), reference) + delta(reference, block(b"d3", 3, 5)) + delta(block(b"k4", 4, 5)) + simple(b"k5", 1, 5)
+    data = _file(m.element(m.CLUSTER, inner))
+    table, _, _ = m.packets(data)
+    assert [(data[p.start : p.start + p.size], p.track, p.keyframe) for p in table] == [(b"k2", 2, True), (b"d1", 1, False), (b"d3", 3, False), (b"k4", 4, True), (b"k5", 1, True)]
+
+
+def test_stored_media_is_what_was_made(spark, odd_docs):
+    made = m.encode_texts(clashing(spark, odd_docs))
+    key = lambda r: (str(r[0]), r[1], r[2])
+    assert sorted(map(key, m.store_media(made).collect())) == sorted(map(key, made.collect()))
