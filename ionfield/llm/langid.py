@@ -6,17 +6,23 @@ bounded sample: at most ``docs_per_language`` documents of each language, ``wind
 (documented bounds; the classifier's only use of sampling).  The weights (some thousand numbers) are
 broadcast; prediction is one pass over the texts.
 
-Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned;
-else one of the learned values and its pooled probability.  Null ids and null languages are allowed, repeated
+Beside the languages the network has one further label, no language: it learns that from windows made by rule
+(``foreign_windows``: random letters, codes, symbols, and letters of scripts that the learned texts don't use).
+A document is identified if its positions' pooled probability of no language is below one half; this doesn't
+depend on the number of languages, and a text in two of them stays.
+
+Defined results: ``und`` with score 0 if the text is null or has no letter (Unicode category L), or if nothing
+could be learned; else the likeliest of the learned values and its pooled probability.  Null ids and null languages are allowed, repeated
 rows are kept, an empty table gives an empty result, other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
+import random
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +35,9 @@ HIDDEN = 8
 GROUP = 2048
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
+# First letters of scripts, and how many follow: fixed values of Unicode.
+SCRIPTS = ((0x0391, 56), (0x0410, 64), (0x0561, 38), (0x05D0, 27), (0x0627, 36), (0x0905, 53), (0x0985, 45), (0x0E01, 46), (0x10D0, 33), (0x3041, 86), (0x30A1, 90), (0x4E00, 20000), (0xAC00, 11000))
 
 
 class ByteGRU:
@@ -204,6 +212,30 @@ def crc_residue(ident: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def foreign_windows(n: int, texts: list[str], seed: int = 9) -> list[bytes]:
+    """``n`` windows of no learned language; scripts that ``texts`` use are left out."""
+    rng = random.Random(seed)
+    used = set("".join(texts))
+    scripts = [(a, k) for a, k in SCRIPTS if not any(a <= ord(c) < a + k for c in used)]
+    lower, alnum = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    symbols = "!#$%&()*+,-./:;<=>?@[]^_{|}~ 0123456789" * 6 + lower
+    out = []
+    for i in range(n):
+        kind = i % 4
+        if kind == 0 or (kind == 3 and not scripts):  # random letters in words
+            words = ["".join(rng.choices(lower, k=rng.randint(2, 11))) for _ in range(WINDOW // 3)]
+            text = " ".join(w.upper() if rng.random() < 0.1 else w for w in words)
+        elif kind == 1:  # codes
+            text = "".join(rng.choices(alnum, k=WINDOW))
+        elif kind == 2:  # symbols and digits around single letters
+            text = "".join(rng.choices(symbols, k=WINDOW))
+        else:
+            first, size = rng.choice(scripts)
+            text = " ".join("".join(chr(first + rng.randrange(size)) for _ in range(rng.randint(1, 8))) for _ in range(WINDOW // 8))
+        out.append(text.encode()[:WINDOW])
+    return out
+
+
 def train(docs: DataFrame, may_learn: Column, docs_per_language: int = 1500, windows_per_doc: int = 3, seed: int = 3) -> ByteGRU | None:
     """A network for the languages of the rows where ``may_learn`` holds and lang isn't null."""
     rows = docs.select("doc_id", "text", "lang", may_learn.alias("ok")).where("ok and lang is not null and text is not null")
@@ -220,7 +252,7 @@ def train(docs: DataFrame, may_learn: Column, docs_per_language: int = 1500, win
     cuts = [F.substring("text", 1 + F.pmod(F.xxhash64("doc_id", F.lit(w)), span).cast("int"), F.lit(WINDOW)) for w in range(windows_per_doc)]
     sample = rows.where(unit < share).select("lang", F.array(*cuts).alias("cuts"), unit.alias("unit"), "doc_id").orderBy("unit", "doc_id").limit(2 * docs_per_language * len(labels)).collect()
     at = {label: i for i, label in enumerate(labels)}
-    windows, sizes, y = [], [], []
+    windows, sizes, y, cut_texts = [], [], [], []
     taken = dict.fromkeys(labels, 0)
     for r in sample:
         if taken[r["lang"]] >= docs_per_language:
@@ -232,22 +264,28 @@ def train(docs: DataFrame, may_learn: Column, docs_per_language: int = 1500, win
                 windows.append(raw + bytes(WINDOW - len(raw)))
                 sizes.append(len(raw))
                 y.append(at[r["lang"]])
+                cut_texts.append(cut)
     if not windows:
         return None
+    for raw in foreign_windows(max(400, len(windows) // len(labels)), cut_texts):
+        windows.append(raw + bytes(WINDOW - len(raw)))
+        sizes.append(len(raw))
+        y.append(len(labels))
     data = np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WINDOW)
-    return ByteGRU(labels, seed=seed).fit(data, np.array(sizes), np.array(y))
+    return ByteGRU([*labels, UNKNOWN], seed=seed).fit(data, np.array(sizes), np.array(y))
 
 
-def _predict_texts(model: ByteGRU | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+def _predict_texts(model: ByteGRU | None, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    """Likeliest language, its pooled probability, and the pooled probability of no language, per text."""
     has = [model is not None and t is not None and _LETTER.search(t) is not None for t in texts]
-    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    names, scores, none = [UNKNOWN] * len(texts), [0.0] * len(texts), [1.0] * len(texts)
     index = [i for i, ok in enumerate(has) if ok]
     if index:
         prob = model.document_probabilities([texts[i].encode() for i in index])
-        best = prob.argmax(axis=1)
-        for i, b, p in zip(index, best.tolist(), prob.max(axis=1).tolist(), strict=True):
-            names[i], scores[i] = model.labels[b], min(1.0, p)
-    return names, scores
+        for i, p in zip(index, prob, strict=True):
+            best = int(p[:-1].argmax())
+            names[i], scores[i], none[i] = model.labels[best], min(1.0, float(p[best])), float(p[-1])
+    return names, scores, none
 
 
 def _parts(batch, at: int, chars: int = 4 << 20):
@@ -267,7 +305,7 @@ def _predict(shared):
     def run(batches):
         for batch in batches:
             for part in _parts(batch, 1):
-                names, scores = _predict_texts(shared.value, part.column(1).to_pylist())
+                names, scores, _ = _predict_texts(shared.value, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return run
@@ -280,17 +318,18 @@ def identify(docs: DataFrame, model: ByteGRU | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_predict(shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def _keep(shared, at: int, least: float):
+def _keep(shared, at: int, most: float, languages):
     def run(batches):
         for batch in batches:
             for part in _parts(batch, at):
-                names, scores = _predict_texts(shared.value, part.column(at).to_pylist())
-                yield part.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+                names, _, none = _predict_texts(shared.value, part.column(at).to_pylist())
+                yield part.filter(pa.array([n != UNKNOWN and p < most and (languages is None or n in languages) for n, p in zip(names, none, strict=True)], pa.bool_()))
 
     return run
 
 
-def keep_identified(docs: DataFrame, model: ByteGRU | None, least: float = 0.3) -> DataFrame:
-    """Rows, with all their columns, whose language is known with a pooled probability of ``least`` or more."""
+def keep_identified(docs: DataFrame, model: ByteGRU | None, languages: list[str] | None = None, most_none: float = 0.5) -> DataFrame:
+    """Rows, with all their columns, whose text is mostly in a language: pooled probability of none below
+    ``most_none``; if ``languages`` are given, the likeliest must be one of them."""
     ship_package(docs.sparkSession)
-    return docs.mapInArrow(_keep(Shared(docs.sparkSession, model), docs.columns.index("text"), least), docs.schema)
+    return docs.mapInArrow(_keep(Shared(docs.sparkSession, model), docs.columns.index("text"), most_none, languages), docs.schema)

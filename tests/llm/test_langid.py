@@ -73,10 +73,10 @@ def test_held_out_accuracy_and_odd_rows(spark, corpus, odd_docs):
     assert all(r["held"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in out)
     held_rows = [r for r in out if r["held"]]
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held_rows) >= 0.97 * len(held_rows)
-    odd = {r["doc_id"]: r for r in langid.identify(clashing(spark, [(i, t) for i, t in odd_docs if i != 13] + [(50, "123 %%% _"), (51, "١٢")]), model).collect()}
-    for i in (1, 2, 3, 50, 51):
+    odd = {r["doc_id"]: r for r in langid.identify(clashing(spark, [(i, t) for i, t in odd_docs if i != 13] + [(50, "123 %%% _"), (51, "١٢"), (52, "x² ½"[1:]), (53, "Ⅷ ①")]), model).collect()}
+    for i in (1, 2, 3, 50, 51, 52, 53):
         assert (odd[i]["lang_pred"], odd[i]["score"]) == ("und", 0.0)
-    assert odd[4]["lang_pred"] in model.labels and 0 < odd[10]["score"] <= 1
+    assert odd[4]["lang_pred"] in model.labels[:-1] and 0 < odd[10]["score"] <= 1
     kept = langid.keep_identified(docs.unionByName(spark.createDataFrame([(9999, "123", "en", "s", 1, 1, 2, "b", "h", "x", "y", 5, 6)], EXTRA)), model)
     assert kept.columns == docs.columns and kept.where("doc_id = 9999").isEmpty() and kept.count() >= 0.95 * len(corpus)
 
@@ -95,3 +95,24 @@ def test_accuracy_on_the_tables(spark):
     sf = "/root/testdata/sf0.01"
     rows = op7_language(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
+
+
+def test_stage_drops_what_is_in_no_learned_language(spark, corpus):
+    """Junk, codes, other scripts and unwanted languages go; learned languages stay, mixed in one text too."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = lambda: " ".join("".join(rng.choices(letters, k=rng.randint(2, 10))) for _ in range(40))
+    by_lang = {}
+    for _, text, lang in corpus:
+        by_lang.setdefault(lang, []).append(text)
+    bad = [junk() for _ in range(10)] + ["Съешь же ещё этих мягких французских булок. " * 4, "我能吞下玻璃而不伤身体。" * 9, "4f!x 9-- 77;; 0x0 %% 3 ## 12 == a 9 " * 5, None, "", "²½Ⅷ"]
+    mixed = [f"{a} {b} {c}" for a, b, c in zip(*(v[:10] for v in by_lang.values()), strict=True)]
+    rows = [(i, t, lang, "s", 1) for i, t, lang in corpus] + [(1000 + i, t, None, "s", 1) for i, t in enumerate(bad)] + [(2000 + i, t, None, "s", 1) for i, t in enumerate(mixed)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.train(docs, F.lit(True))
+    kept = {r["doc_id"] for r in langid.keep_identified(docs, model).collect()}
+    assert not [i for i in kept if 1000 <= i < 2000]
+    assert len([i for i in kept if i >= 2000]) == len(mixed) and len([i for i in kept if i < 1000]) >= 0.99 * len(corpus)
+    wanted = {r["doc_id"] for r in langid.keep_identified(docs, model, ["aa"]).collect()}
+    names = {i: lang for i, _, lang in corpus}
+    assert {names[i] for i in wanted if i < 1000} == {"aa"}
