@@ -28,7 +28,7 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import capture_histories
 
-    return capture_histories(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return capture_histories(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "position", "capture_rank")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,16 +81,26 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-_WARC_SQL = """
-WITH p AS (
-  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
-  FROM pages
+_WARC_SQL = r"""
+WITH u AS (
+  SELECT page_id, coalesce(html, '') AS html, list_last(string_split(regexp_extract(coalesce(url, ''), '^[^#]*'), '://')) AS rest FROM pages
+), h AS (
+  SELECT page_id, html, rest, lower(list_last(string_split(regexp_extract(rest, '^[^/?]*'), '@'))) AS site, regexp_extract(rest, '[/?].*$', 0, 's') AS path FROM u
+), p AS (
+  SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest,
+    strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured_at,
+    CASE WHEN rest = '' THEN '' ELSE array_to_string(list_reverse(string_split(regexp_replace(split_part(site, ':', 1), '^www\.', ''), '.')), ',')
+      || CASE WHEN split_part(site, ':', 2) IN ('', '80', '443') THEN '' ELSE ':' || split_part(site, ':', 2) END
+      || ')' || CASE WHEN path = '' THEN '/' ELSE path END END AS url_key
+  FROM h
 ), m AS (
   SELECT payload_digest, max(page_id) AS response FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
 )
 SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
        CASE WHEN m.response <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN m.response <> p.page_id THEN m.response END AS refers_to
+       CASE WHEN m.response <> p.page_id THEN m.response END AS refers_to, url_key, captured_at,
+       row_number() OVER (ORDER BY url_key, captured_at, p.page_id) - 1 AS position,
+       row_number() OVER (PARTITION BY url_key ORDER BY captured_at, p.page_id) AS capture_rank
 FROM p LEFT JOIN m USING (payload_digest)
 """
 

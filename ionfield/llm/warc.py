@@ -2,14 +2,18 @@
 
 ``write_archives`` puts a gzip member per capture into archives of bounded size (a table of binary rows in
 the shared folder, committed by Spark).  ``read_archives`` parses them again; the captures of one archive,
-sorted by (URL key, timestamp), are one run.  ``merge_runs`` deals the runs' entries to key ranges and merges
-the pieces of all runs in a range with a loser tree, so that the output is ordered over all partitions.
+sorted by (URL key, timestamp), are one run.  ``merge_runs`` deals the runs' entries to key ranges, as many as
+the number of entries asks for, and merges the runs' pieces of a range with a loser tree.  A piece stays in its
+Arrow batches, and only the front of each is unpacked.  Ranges may cut a URL's history (the timestamp is part of
+the range key), so that one URL may hold any share of the rows; the ranks of a cut history are joined by a
+summary of one row per range.
 
 Revisits: of records with equal payloads of at least ``min_revisit`` bytes the one with the largest page_id
 is the response.  Defined results: null html counts as empty; null page_ids are smaller than any other, and
 are responses where a payload's page_ids are all null; every record with the largest page_id is a response
-(repeated rows); null urls have the empty key; an empty table gives an empty result; other columns are
-ignored.  Without a capture time of its own a page has ``EPOCH`` plus page_id seconds.
+(repeated rows); null urls have the empty key; ties of key, time and page_id keep the order of archives and
+offsets; an empty table gives an empty result; other columns are ignored.  A page is captured ``EPOCH`` plus
+page_id seconds, held within the years 1 to 9999 (beyond them captures share a time and are ordered by page_id).
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import hashlib
 import zlib
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,8 +35,13 @@ EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 ARCHIVE_BYTES = 4 << 20
 #: Duplicated payloads up to which their table is broadcast (about 60 bytes each).
 BROADCAST_ROWS = 200_000
+#: Entries of a key range aimed at (some 200 bytes each).
+RANGE_ENTRIES = 200_000
+FIRST, LAST = datetime(1, 1, 1, tzinfo=timezone.utc), datetime(9999, 12, 31, 23, 59, 59, tzinfo=timezone.utc)
 
-ENTRY = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured_at string, archive string, offset long, size long"
+ENTRY = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured_at string, archive string, offset long, size long, run_row long"
+#: What the merge adds: place in the range, and in the part of the URL's history that lies in it.
+MERGED = ENTRY + ", part int, row long, rank long"
 
 
 def url_key(url: str | None) -> str:
@@ -53,12 +63,18 @@ def _clean(url: str) -> str:
     return "".join(c if 32 < ord(c) != 127 else f"%{ord(c) % 256:02X}" for c in url)
 
 
+def captured(page_id: int | None) -> str:
+    """The page's capture time."""
+    seconds = min(max(page_id or 0, int((FIRST - EPOCH).total_seconds())), int((LAST - EPOCH).total_seconds()))
+    return (EPOCH + timedelta(seconds=seconds)).isoformat()[:19] + "Z"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
     """One WARC/1.1 record; a revisit keeps the HTTP header but not the payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    when = EPOCH + timedelta(seconds=(page_id or 0) % (10 * 365 * 86400))
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Date: {when:%Y-%m-%dT%H:%M:%SZ}", "WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)).decode(), f"X-Payload-Length: {len(payload)}"]
+    when = captured(page_id)
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Date: {when}", "WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)).decode(), f"X-Payload-Length: {len(payload)}"]
     if page_id is not None:
         head.append(f"WARC-Record-ID: <urn:page:{page_id}>")
     if url:
@@ -141,14 +157,14 @@ def captures(archive: str, content: bytes) -> list[tuple]:
             digest, n = stated, int(headers["X-Payload-Length"])
         found.append((_page(headers.get("WARC-Record-ID")), n, digest, kind, _page(headers.get("WARC-Refers-To")), url_key(headers.get("WARC-Target-URI")), headers["WARC-Date"], archive, offset, size))
     found.sort(key=_order)
-    return found
+    return [(*e, i) for i, e in enumerate(found)]
 
 
 def _order(entry: tuple) -> tuple:
     return entry[5], entry[6], -1 if entry[0] is None else entry[0], entry[7], entry[8]
 
 
-_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
 _NAMES = [x.split()[0] for x in ENTRY.split(", ")]
 
 
@@ -209,31 +225,81 @@ class LoserTree:
             self._replay(i)
 
 
-def _merge(batches):
-    runs: dict[str, list[tuple]] = {}
+def pieces(batches: list) -> list[list]:
+    """Slices of the batches, grouped by run: (archive, run_row) ascend along each group.  A shuffle may hand over
+    a run's blocks in any order; each ascending stretch is then a run of its own."""
+    open_runs: dict[str, tuple[int, list]] = {}
+    out = []
     for batch in batches:
-        for entry in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
-            runs.setdefault(entry[7], []).append(entry)
-    for run in runs.values():  # a shuffle may hand over blocks of a run in any order
-        if any(_order(b) < _order(a) for a, b in zip(run, run[1:], strict=False)):
-            run.sort(key=_order)
+        archive, row = batch.column(7).dictionary_encode(), batch.column(10).to_numpy()
+        code = archive.indices.to_numpy()
+        cuts = np.flatnonzero((np.diff(code) != 0) | (np.diff(row) <= 0)) + 1
+        for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if stop == start:
+                continue
+            name = archive.dictionary[int(code[start])].as_py()
+            last, run = open_runs.get(name, (-1, None))
+            if run is None or row[start] <= last:
+                run = []
+                out.append(run)
+            run.append(batch.slice(start, stop - start))
+            open_runs[name] = (int(row[stop - 1]), run)
+    return out
+
+
+def _unpacked(run: list):
+    for batch in run:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+
+
+def _merge(batches):
+    part = TaskContext.get().partitionId()
+    row, rank, key = 0, 0, None
     out: list[tuple] = []
-    for entry in LoserTree(list(runs.values()), _order):
-        out.append(entry)
+
+    def packed():
+        columns = [pa.array([e[i] for e in out], t) for i, t in enumerate((*_TYPES, pa.int32(), pa.int64(), pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=[*_NAMES, "part", "row", "rank"])
+
+    for entry in LoserTree([_unpacked(r) for r in pieces(list(batches))], _order):
+        rank = rank + 1 if entry[5] == key else 1
+        key = entry[5]
+        out.append((*entry, part, row, rank))
+        row += 1
         if len(out) == 8192:
-            yield _rows(out)
+            yield packed()
             out = []
     if out:
-        yield _rows(out)
+        yield packed()
 
 
 def merge_runs(entries: DataFrame, partitions: int | None = None) -> DataFrame:
-    """All entries in order of (url_key, captured_at, page_id): ranges in order, each merged from its runs."""
-    n = partitions or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return entries.select(*_NAMES).repartitionByRange(n, "url_key", "captured_at", "page_id", "archive", "offset").mapInArrow(_merge, ENTRY)
-
-
-def capture_histories(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
-    """Write ``pages`` to archives, read them back, merge the runs: the globally ordered index."""
+    """All entries in order of (url_key, captured_at, page_id): ranges in order, each merged from its runs, with
+    the place in its range and in the part of its URL's history that lies there."""
+    n = partitions or max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // RANGE_ENTRIES))
+    return entries.select(*_NAMES).repartitionByRange(n, "url_key", "captured_at", "page_id", "archive", "offset").mapInArrow(_merge, MERGED)
+
+
+def _offsets(merged: DataFrame) -> list[tuple[int, int, str, int]]:
+    """(part, entries before it, its first key, that key's entries before it), a row per range."""
+    summary = merged.groupBy("part").agg(F.count("*").alias("n"), F.min_by("url_key", "row").alias("first"), F.max_by(F.struct("url_key", "rank"), "row").alias("last")).orderBy("part").collect()
+    out, before, key, seen = [], 0, None, 0
+    for r in summary:
+        out.append((r["part"], before, r["first"], seen if r["first"] == key else 0))
+        # rank starts again at each range, so a range of one key only adds to it
+        seen = r["last"]["rank"] + (seen if r["first"] == key == r["last"]["url_key"] else 0)
+        before, key = before + r["n"], r["last"]["url_key"]
+    return out
+
+
+def capture_histories(pages: DataFrame, min_revisit: int = 1000, partitions: int | None = None) -> DataFrame:
+    """Write ``pages`` to archives, read them back, merge the runs: the globally ordered index, with each capture's
+    ``position`` in it (from 0) and ``capture_rank`` in its URL's history (from 1)."""
     entries = materialize(read_archives(write_archives(pages, min_revisit)), "runs")
-    return merge_runs(entries)
+    merged = materialize(merge_runs(entries, partitions), "merged")
+    offsets = merged.sparkSession.createDataFrame(_offsets(merged), "part int, before long, first string, seen long")
+    placed = merged.join(F.broadcast(offsets), "part")  # one row per range
+    rank = F.col("rank") + F.when(F.col("url_key") == F.col("first"), F.col("seen")).otherwise(0)
+    return placed.select(*_NAMES[:-1], (F.col("row") + F.col("before")).alias("position"), rank.alias("capture_rank"))

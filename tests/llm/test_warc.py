@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import os
 import random
@@ -31,7 +32,7 @@ def test_url_keys():
 def test_revisits_and_order(spark):
     big, small = "é" * 700, "s" * 10
     rows = [(1, "http://b.org/x", big), (2, "http://a.org/y", big), (3, None, big), (4, "http://a.org/\r\nz", small), (5, "http://c.org", small), (None, "http://d.org", big), (6, "http://e.org", None), (7, "http://e.org", ""), (7, "http://e.org", "")]
-    out = warc.capture_histories(pages(spark, rows)).collect()
+    out = warc.capture_histories(pages(spark, rows)).orderBy("position").collect()
     assert len(out) == len(rows)
     assert [(r["url_key"], r["captured_at"]) for r in out] == sorted((r["url_key"], r["captured_at"]) for r in out)
     html = {i: (h or "").encode() for i, _, h in rows}
@@ -54,6 +55,37 @@ def test_small_archives_and_many_ranges(spark, monkeypatch):
     assert archives.count() >= 4
     out = warc.merge_runs(warc.read_archives(archives), 5).collect()
     assert [warc._order(tuple(r)) for r in out] == sorted(warc._order(tuple(r)) for r in out) and len(out) == 300
+    again = warc.capture_histories(pages(spark, rows), partitions=23).orderBy("position").collect()
+    assert [r["position"] for r in again] == list(range(300))
+    order = sorted(rows, key=lambda r: (warc.url_key(r[1]), r[0]))
+    assert [r["page_id"] for r in again] == [r[0] for r in order]
+    ranks = collections.Counter()
+    for r in again:
+        ranks[r["url_key"]] += 1
+        assert r["capture_rank"] == ranks[r["url_key"]]
+
+
+def test_one_url_may_hold_every_capture(spark):
+    rows = [(i, "http://one.org/", "x") for i in range(200)] + [(None, "http://one.org/", "x"), (7, "http://one.org/", "x"), (10**18, "http://two.org/", "x"), (-(10**18), "http://two.org/", "x")]
+    out = warc.capture_histories(pages(spark, rows), partitions=9).orderBy("position").collect()
+    assert [r["capture_rank"] for r in out] == [*range(1, 203), 1, 2]
+    assert [r["page_id"] for r in out[-2:]] == [-(10**18), 10**18] and out[-1]["captured_at"] == "9999-12-31T23:59:59Z" and out[-2]["captured_at"] == "0001-01-01T00:00:00Z"
+
+
+def test_pieces_ascend_whatever_the_order_of_blocks():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    entries = [[(i, 1, "d", "response", None, f"k{rng.randint(0, 9)}", "t", f"a{a}", i, 1) for i in range(40)] for a in range(4)]
+    runs = [[(*e, j) for j, e in enumerate(sorted(x, key=warc._order))] for x in entries]
+    blocks = [r[at : at + rng.randint(1, 9)] for r in runs for at in range(0, 40, 9)]
+    rng.shuffle(blocks)
+    batches = [warc._rows(b) for b in blocks]
+    found = warc.pieces(batches)
+    total = sum(len(b) for b in blocks)
+    assert sum(p.num_rows for r in found for p in r) == total and isinstance(batches[0], pa.RecordBatch)
+    merged = list(warc.LoserTree([warc._unpacked(r) for r in found], warc._order))
+    assert merged == sorted((e for b in blocks for e in b), key=warc._order)
 
 
 def test_damage_is_seen(spark):
