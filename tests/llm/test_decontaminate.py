@@ -50,8 +50,7 @@ def test_against_brute_force(spark, case):
     items, docs = case
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r for r in d.find_leaks(docs_frame(spark, docs), bench).collect()}
-    index = d.ItemIndex(items)
-    budget = dict(zip(index.ids, index.k.tolist(), strict=True))
+    budget = {j: int(0.1 * len(d.normalise(item))) for j, item in items}
     expected = {}
     for i, text in docs:
         for j, item in items:
@@ -71,7 +70,7 @@ def test_blocks_of_items_give_the_same(spark, case, monkeypatch):
     rows = lambda: sorted(map(tuple, d.find_leaks(frame, bench).collect()))
     one = rows()
     monkeypatch.setattr(d.item_blocks, "__defaults__", (500,))
-    assert len(d.item_blocks(bench)) > 3 and rows() == one
+    assert len(list(d.item_blocks(bench))) > 3 and rows() == one
 
 
 def test_drop_keeps_clean_rows(spark, case, odd_docs):
@@ -89,7 +88,7 @@ def test_odd_items(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "tiny"), (4, "exactly sixteen."), (5, "é日本語 long enough to have some edits in it, yes"), (6, "TINY"), (None, "a passage whose item has no id at all, though it is long")], "item_id long, text string")
     docs = [(1, "so tiny"), (2, "EXACTLY  sixteen. x"), (3, None), (4, "x É日本語 long enough to have sone edits in it, yes."), (None, "a passage whose item has no id at all, though it is long"), (6, "clean")]
     got = {(r["doc_id"], r["item_id"], r["edits"]) for r in d.find_leaks(docs_frame(spark, docs), bench).collect()}
-    assert got == {(1, 3, 0), (2, 4, 0), (4, 5, 1), (None, None, 0)}
+    assert got == {(1, 3, 0), (1, 6, 0), (2, 4, 0), (4, 5, 1), (None, None, 0)}
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.find_leaks(docs_frame(spark, docs), none).collect() == [] and d.drop_leaks(docs_frame(spark, docs), none).count() == 6
     assert d.find_leaks(docs_frame(spark, []), bench).collect() == []
@@ -110,3 +109,41 @@ def test_grams_are_of_eight_characters():
     a, b = d.codes("xxabcdefghyy"), d.codes("abcdefgh")
     assert d.grams(b)[0] in d.grams(a).tolist() and len(d.grams(a)) == 5 and len(d.grams(d.codes("short"))) == 0
     assert np.unique(d.grams(d.codes("aaaaaaaaaaaa"))).size == 1
+
+
+def test_short_items_have_their_whole_budget(words):
+    rng = random.Random(21)
+    for m in (4, 9, 10, 12, 19, 20, 25, 30, 35, 41, 60):
+        item = " ".join(rng.choice(words) for _ in range(30))[:m].strip() + "q" * 9
+        item = item[:m]
+        k = int(0.1 * m)
+        for n in range(k + 2):
+            text = " ".join(rng.choice(words) for _ in range(20)) + " " + (edit(rng, item, n) if n else item) + " " + " ".join(rng.choice(words) for _ in range(20))
+            least = best_edits(item, d.normalise(text))
+            assert [x[1] for x in d.ItemIndex([(1, item)]).search([text])[0]] == ([least] if least <= k else [])
+
+
+def test_every_id_of_equal_items_is_found_whatever_the_blocks_and_types(spark, monkeypatch):
+    text = "one passage that several benchmarks hold, in one wording"
+    items = [("a", text), ("b", text.upper()), ("c", "  " + text.replace(" ", "  ")), ("a", text), (None, text)] + [(f"x{i}", f"another item of some length, number {i}") for i in range(20)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    frame = clashing(spark, [(1, "so: " + text + "."), (2, "clean")])
+    rows = lambda: sorted((str(r["item_id"]), r["doc_id"], r["edits"]) for r in d.find_leaks(frame, bench).collect())
+    one = rows()
+    assert one == [("None", 1, 0), ("a", 1, 0), ("b", 1, 0), ("c", 1, 0)]
+    monkeypatch.setattr(d.item_blocks, "__defaults__", (100,))
+    assert rows() == one
+
+
+def test_runs_of_one_character_are_counted_in_portions(monkeypatch):
+    import tracemalloc
+
+    index = d.ItemIndex([(1, "a" * 500), (2, "the" * 30)])
+    few = index.search(["x" + "a" * 3000 + "y"])
+    monkeypatch.setattr(d, "PAIRS", 1 << 12)
+    assert index.search(["x" + "a" * 3000 + "y"]) == few and few[0][0][:3] == (1, 0, 500)
+    monkeypatch.undo()
+    tracemalloc.start()
+    assert [h[0][1] for h in index.search(["a" * 60_000])] == [0]
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
