@@ -10,9 +10,11 @@ and all bits (radius 3): full-width nodes go on splitting cells whose halves are
 copies).  Of the candidates at a node the one that sends the fewest sample points to both sides is taken.
 
 The trees are fitted on a bounded sample (``sample_size`` fingerprints of smallest hash; the bound is 512 KB);
-every fingerprint is then dealt to its home cell and, as a query, to the cells its ball overlaps.  A task
-searches a cell with a further, local tree down to leaves compared in full, and gives only a spanning star of
-each local component: never all pairs.  Components are then joined across cells without the driver.
+every fingerprint is then dealt to its home cell and, as a query, to the cells its ball overlaps.  Cells that got
+more than ``cell_rows`` are refitted on about ``REFIT`` of their own fingerprints each and dealt again, for as long
+as that splits them.  There are as many tasks as the dealt rows ask for; a task holds one cell at a time, searches
+it with a further, local tree down to leaves compared in full, and gives only a spanning star of each local
+component: never all pairs.  Components are then joined across cells without the driver.
 
 Defined results: null or blank text has fingerprint zero, linked like any other; null ids stay in the result
 and never name a component that has another id; repeated rows are kept; an empty table gives an empty result;
@@ -36,6 +38,8 @@ ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
 #: Fingerprints in a cell aimed at, and in a leaf of the local search.
 CELL, LEAF = 2048, 512
+#: Rows beyond which a cell is refitted, sample of a refit, refits in a row, and dealt rows of a task.
+CELL_ROWS, REFIT, LEVELS, TASK_ROWS = 1 << 18, 512, 6, 1 << 19
 
 
 def fingerprint(text: str | None) -> int:
@@ -136,7 +140,7 @@ def _deal(trees):
             points = batch.column(0).to_numpy().view(np.uint64)
             for half, tree in enumerate(trees.value):
                 index, cell, home = tree.deal(points)
-                yield pa.RecordBatch.from_arrays([pa.array(cell * 2 + half, pa.int32()), pa.array(points[index].view(np.int64)), pa.array(home)], names=["cell", "fp", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64) * 2 + half), pa.array(points[index].view(np.int64)), pa.array(home)], names=["cell", "fp", "home"])
 
     return run
 
@@ -201,29 +205,81 @@ def links(points: np.ndarray, queries: np.ndarray, rng) -> tuple[np.ndarray, np.
 
 
 def _search(batches):
-    cells, fps, homes = [], [], []
-    for batch in batches:
-        cells.append(batch.column(0).to_numpy())
-        fps.append(batch.column(1).to_numpy().view(np.uint64))
-        homes.append(batch.column(2).to_numpy(zero_copy_only=False))
-    if not cells:
-        return
-    cell, fp, home = np.concatenate(cells), np.concatenate(fps), np.concatenate(homes)
-    order = np.argsort(cell, kind="stable")
-    cell, fp, home = cell[order], fp[order], home[order]
+    """Cells one after the other; the rows are sorted by cell."""
     rng = np.random.default_rng(11)
-    for at in np.split(np.arange(len(cell)), np.flatnonzero(np.diff(cell)) + 1):
-        mine, is_home = fp[at], home[at]
-        a, b = links(mine[is_home], mine, rng)
-        if not len(a):
-            continue
-        nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
-        label = components_of(len(nodes), index[: len(a)], index[len(a) :])
-        apart = label != np.arange(len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[apart].view(np.int64)), pa.array(nodes[label[apart]].view(np.int64))], names=["src", "dst"])
+
+    def found():
+        mine, home = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+        a, b = links(mine[home], mine, rng)
+        if len(a):
+            nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
+            label = components_of(len(nodes), index[: len(a)], index[len(a) :])
+            apart = label != np.arange(len(nodes))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[apart].view(np.int64)), pa.array(nodes[label[apart]].view(np.int64))], names=["src", "dst"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        cell, fp, home = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)
+        for at in np.split(np.arange(len(cell)), np.flatnonzero(np.diff(cell)) + 1):
+            if not len(at):
+                continue
+            if held and held[0][0] != cell[at[0]]:
+                yield from found()
+                held = []
+            held.append((cell[at[0]], fp[at], home[at]))
+    if held:
+        yield from found()
+
+
+def _deal_again(shared):
+    def run(batches):
+        trees = shared.value
+        for batch in batches:
+            cell, points, home = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)
+            order = np.argsort(cell, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                if not len(at):
+                    continue
+                tree, base = trees[int(cell[at[0]])]
+                index, inner, own = tree.deal(points[at])
+                yield pa.RecordBatch.from_arrays([pa.array(base + 2 * inner.astype(np.int64)), pa.array(points[at][index].view(np.int64)), pa.array(own & home[at][index])], names=["cell", "fp", "home"])
+
+    return run
+
+
+_DEALT = "cell long, fp long, home boolean"
+
+
+def _refitted(dealt: DataFrame, cell_rows: int) -> DataFrame:
+    """Dealt rows in which cells over ``cell_rows`` are split further where a tree can; no row is lost."""
+    spark, done, base = dealt.sparkSession, [], 1 << 32
+    for _ in range(LEVELS):
+        sizes = {r["cell"]: r["n"] for r in dealt.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).collect()}
+        if not sizes:
+            break
+        large = spark.createDataFrame([(c, max(1, n // REFIT)) for c, n in sizes.items()], "cell long, every long")
+        rows = dealt.join(F.broadcast(large), "cell")  # at most one row per cell of the trees
+        picked: dict[int, list] = {}
+        for r in rows.where("pmod(xxhash64(fp), every) = 0").select("cell", "fp").collect():
+            picked.setdefault(r["cell"], []).append(r["fp"])
+        trees = {}
+        for cell, fps in sorted(picked.items()):
+            tree = VantageTree(np.array(sorted(set(fps)), dtype=np.int64).view(np.uint64), HALVES[cell % 2], max(4, len(fps) * cell_rows // (4 * sizes[cell])))
+            if tree.cells > 1:
+                trees[cell] = (tree, base + cell % 2)
+                base += 2 * tree.cells
+        if not trees:
+            break
+        split = spark.createDataFrame([(c,) for c in trees], "cell long")
+        done.append(dealt.join(F.broadcast(split), "cell", "left_anti").select("cell", "fp", "home"))
+        again = dealt.join(F.broadcast(split), "cell", "left_semi").select("cell", "fp", "home")
+        dealt = materialize(again.mapInArrow(_deal_again(Shared(spark, trees)), _DEALT), "dealt_again")
+    for rows in done:
+        dealt = dealt.unionByName(rows)
+    return dealt
 
 
-def near_edges(distinct: DataFrame, sample_size: int = 65_536) -> DataFrame:
+def near_edges(distinct: DataFrame, sample_size: int = 65_536, cell_rows: int | None = None) -> DataFrame:
     """Spanning edges (src, dst) of the links among the distinct fingerprints of column fp."""
     spark = distinct.sparkSession
     ship_package(spark)
@@ -232,9 +288,10 @@ def near_edges(distinct: DataFrame, sample_size: int = 65_536) -> DataFrame:
     sample = np.array([r["fp"] for r in picked], dtype=np.int64).view(np.uint64)
     leaf = max(4, CELL * len(sample) // max(1, total))
     trees = Shared(spark, [VantageTree(sample, half, leaf) for half in HALVES])
-    dealt = distinct.select("fp").mapInArrow(_deal(trees), "cell int, fp long, home boolean")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "cell").mapInArrow(_search, "src long, dst long")
+    dealt = materialize(distinct.select("fp").mapInArrow(_deal(trees), _DEALT), "dealt")
+    dealt = _refitted(dealt, cell_rows or CELL_ROWS)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-dealt.count() // TASK_ROWS))
+    return dealt.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_search, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, sample_size: int = 65_536) -> DataFrame:

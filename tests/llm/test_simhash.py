@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -67,8 +68,9 @@ def test_near_copies_and_chains(spark, words):
     check(spark, rows)
 
 
-def test_tree_finds_every_link(spark, monkeypatch):
-    """Random points, tight clusters and chains; small cells, so that trees are deep."""
+@pytest.mark.parametrize("cell_rows", [None, 200])
+def test_tree_finds_every_link(spark, monkeypatch, cell_rows):
+    """Random points, tight clusters and chains; small cells, so that trees are deep, or cells that are refitted."""
     rng = np.random.default_rng(5)
     points = set(rng.integers(0, 2**63, 3000, dtype=np.uint64).tolist())
     for c in rng.integers(0, 2**63, 12, dtype=np.uint64).tolist():
@@ -78,8 +80,12 @@ def test_tree_finds_every_link(spark, monkeypatch):
                 p ^= 1 << b
             points.add(p)
     fps = np.array(sorted(points), dtype=np.uint64)
-    monkeypatch.setattr(simhash, "CELL", 100)
-    edges = simhash.near_edges(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"))
+    monkeypatch.setattr(simhash, "CELL", 100 if cell_rows is None else 4000)
+    monkeypatch.setattr(simhash, "TASK_ROWS", 3000)
+    refits, refit = [], simhash._deal_again
+    monkeypatch.setattr(simhash, "_deal_again", lambda shared: refits.append(shared) or refit(shared))
+    edges = simhash.near_edges(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), cell_rows=cell_rows)
+    assert bool(refits) == (cell_rows is not None)
     index = {int(x): i for i, x in enumerate(fps.view(np.int64))}
     pairs = [(index[r["src"]], index[r["dst"]]) for r in edges.collect()]
     got = simhash.components_of(len(fps), np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
