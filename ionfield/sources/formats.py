@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import base64
+import io
 import json
 import re
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -144,12 +144,16 @@ def validate_pair(imzml: bytes, ibd: bytes) -> str | None:
 
 def imzml_index(text: bytes) -> list[tuple[int, int, int, int, int, int, bool, bool]]:
     """(x, y, mz offset, mz count, intensity offset, intensity count, mz is double, intensity is double)."""
+    return list(iter_index(io.BytesIO(text)))
+
+
+def iter_index(file):
+    """The rows of ``imzml_index``, one spectrum at a time: what has been read is dropped."""
     groups: dict[str, set[str]] = {}
-    rows = []
     tag = lambda e: e.tag.rsplit("}", 1)[-1]
     params = lambda e: {p.get("accession"): p.get("value") for p in e.iter() if tag(p) == "cvParam"}
     refs = lambda e: [p.get("ref") for p in e.iter() if tag(p) == "referenceableParamGroupRef"]
-    for element in ElementTree.fromstring(text).iter():
+    for _, element in ElementTree.iterparse(file):
         if tag(element) == "referenceableParamGroup":
             groups[element.get("id")] = set(params(element))
         elif tag(element) == "spectrum":
@@ -159,9 +163,9 @@ def imzml_index(text: bytes) -> list[tuple[int, int, int, int, int, int, bool, b
                 own = params(a)
                 known = set(own).union(*(groups.get(r, set()) for r in refs(a)))
                 arrays["mz" if MZ_ARRAY in known else "intensity"] = (int(own[EXTERNAL_OFFSET]), int(own[EXTERNAL_LENGTH]), FLOAT64 in known)
-            (mo, mn, md), (io, n, idbl) = arrays["mz"], arrays["intensity"]
-            rows.append((int(place[POSITION_X]), int(place[POSITION_Y]), mo, mn, io, n, md, idbl))
-    return rows
+            (mo, mn, md), (io_, n, idbl) = arrays["mz"], arrays["intensity"]
+            yield int(place[POSITION_X]), int(place[POSITION_Y]), mo, mn, io_, n, md, idbl
+            element.clear()
 
 
 class _Slice(InputPartition):
@@ -178,11 +182,10 @@ class _ImzmlReader(DataSourceReader):
         self.ibd = options.get("ibd", re.sub(r"\.imzml$", ".ibd", self.path, flags=re.I)).removeprefix("file://")
 
     def partitions(self):
-        with open(self.path, "rb") as f:
-            text = f.read()
-        with open(self.ibd, "rb") as f:
-            validate_pair(text, f.read(16))
-        rows = [(i + 1, *r) for i, r in enumerate(imzml_index(text))]
+        with open(self.path, "rb") as f, open(self.ibd, "rb") as g:
+            validate_pair(f.read(16384), g.read(16))
+            f.seek(0)
+            rows = [(i + 1, *r) for i, r in enumerate(iter_index(f))]
         return [_Slice(rows[i : i + self.per_task]) for i in range(0, len(rows), self.per_task)]
 
     def read(self, partition):
@@ -191,7 +194,7 @@ class _ImzmlReader(DataSourceReader):
                 out = []
                 for offset, count, double in ((mo, mn, md), (io, n, idbl)):
                     f.seek(offset)
-                    out.append([v for (v,) in struct.iter_unpack("<d" if double else "<f", f.read(count * (8 if double else 4)))])
+                    out.append(np.frombuffer(f.read(count * (8 if double else 4)), "<f8" if double else "<f4").astype(float).tolist())
                 yield ident, float(x), float(y), out[0], out[1]
 
 
@@ -221,18 +224,22 @@ def align_peaks(spectra: DataFrame, ppm: float = 10, min_detection: float = 0.0)
     """Long intensities of variable-axis spectra on a shared axis: masses sorted once, a new bin wherever the
     gap to the one before exceeds ppm; bins detected in too few pixels are dropped.
 
-    Gaps are found within overlapping logarithmic stripes, so that no window runs over all peaks."""
+    Gaps are found within logarithmic stripes, so that no window runs over all peaks; a stripe's first mass is
+    compared with the last one before the stripe, which a window over the few stripes hands on."""
     from pyspark.sql import Window
 
     peaks = spectra.select("pixel_id", F.explode(F.arrays_zip("mz", "intensity")).alias("p")).select("pixel_id", F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity"))
     # Distinct masses are rounded to a hundredth of the tolerance: far fewer than peaks.
-    masses = peaks.select(F.round(F.ln("mz") / (ppm * 1e-8)).cast("long").alias("k")).distinct()
-    stripe = F.floor(F.col("k") / 1_000_000)
-    w = Window.partitionBy("s").orderBy("k")
-    at = masses.withColumn("s", stripe).withColumn("new", F.coalesce((F.col("k") - F.lag("k").over(w) > 100).cast("int"), F.lit(1)))
-    bins = at.withColumn("b", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).select("k", "s", "b")
-    joined = peaks.withColumn("k", F.round(F.ln("mz") / (ppm * 1e-8)).cast("long")).join(bins, "k")
-    centre = joined.groupBy("s", "b").agg((F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity")).alias("center"), F.count_distinct("pixel_id").alias("n"))
+    unit = ppm * 1e-8
+    masses = peaks.select(F.round(F.ln("mz") / unit).cast("long").alias("k")).distinct().withColumn("s", F.floor(F.col("k") / 1_000_000))
+    w, over_stripes = Window.partitionBy("s").orderBy("k"), Window.orderBy("s")
+    before = masses.groupBy("s").agg(F.max("k").alias("last")).withColumn("last", F.lag("last").over(over_stripes))
+    at = masses.join(F.broadcast(before), "s").withColumn("new", F.coalesce((F.col("k") - F.coalesce(F.lag("k").over(w), "last") > 100).cast("int"), F.lit(1)))  # a row per stripe
+    bins = at.withColumn("b", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    offsets = at.groupBy("s").agg(F.sum("new").alias("bins")).select("s", F.coalesce(F.sum("bins").over(over_stripes.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    bins = bins.join(F.broadcast(offsets), "s").select("k", (F.col("b") + F.col("offset")).alias("b"))  # a row per stripe
+    joined = peaks.withColumn("k", F.round(F.ln("mz") / unit).cast("long")).join(bins, "k")
+    centre = joined.groupBy("b").agg((F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity")).alias("center"), F.count_distinct("pixel_id").alias("n"))
     total = spectra.agg(F.count_distinct("pixel_id").alias("total"))
-    kept = centre.crossJoin(F.broadcast(total)).where(F.col("n") / F.col("total") >= min_detection).select("s", "b", F.concat(F.lit("mz_"), F.format_string("%.6f", "center")).alias("feature"), (F.col("n") / F.col("total")).alias("detection_fraction"))  # one row
-    return joined.join(kept, ["s", "b"]).groupBy("pixel_id", "feature").agg(F.sum("intensity").alias("value"), F.first("detection_fraction").alias("detection_fraction"))
+    kept = centre.crossJoin(F.broadcast(total)).where(F.col("n") / F.col("total") >= min_detection).select("b", F.concat(F.lit("mz_"), F.format_string("%.6f", "center")).alias("feature"), (F.col("n") / F.col("total")).alias("detection_fraction"))  # one row
+    return joined.join(kept, "b").groupBy("pixel_id", "feature").agg(F.sum("intensity").alias("value"), F.first("detection_fraction").alias("detection_fraction"))

@@ -94,3 +94,21 @@ def test_stream_of_sections(spark, tmp_path):
     assert [tuple(r) for r in spark.table("totals").collect()] == [("s1", 2, 12.0)]
     sections.append_sections(sections.stream_sections(spark, str(src), "x double, y double, mz_1 double"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_aligned_peaks_know_no_stripe_edges(spark):
+    """Masses on both sides of e^5 (a stripe's edge at 10 ppm), close ones and far ones."""
+    import math
+
+    edge = math.exp(5.0)
+    masses = [edge * (1 + d * 1e-6) for d in (-40, -33, -26, -0.4, 0.3, 6, 30)] + [300.0, 300.0001, 148.4131, 148.4132]
+    spectra = spark.createDataFrame([(i, [m], [1.0]) for i, m in enumerate(masses)], "pixel_id long, mz array<double>, intensity array<double>")
+    groups = {}
+    for r in formats.align_peaks(spectra, 10).collect():
+        groups.setdefault(r["feature"], set()).add(r["pixel_id"])
+    expected, ordered = [], sorted(range(len(masses)), key=masses.__getitem__)
+    for a, b in zip([None, *ordered], ordered, strict=False):
+        if a is None or math.log(masses[b] / masses[a]) > 10e-6:
+            expected.append(set())
+        expected[-1].add(b)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected))
