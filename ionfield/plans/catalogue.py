@@ -11,7 +11,7 @@ _TYPES = {
     "affine_apply": {"msi_x": "DOUBLE", "msi_y": "DOUBLE"},
     "backmap_scores": {"score": "DOUBLE"},
     "background_otsu": {"threshold": "DOUBLE"},
-    "binspect_rank": {"n00": "DOUBLE", "n01": "DOUBLE", "n11": "DOUBLE"},
+    **{f"binspect_{m}": {c: "DOUBLE" for c in ("n00", "n01", "n11")} for m in ("rank", "kmeans", "fisher")},
     "cell_type_contract": {"confidence": "DOUBLE"},
     "lipid_mapping": {"ppm_error": "DOUBLE"},
     "lmd_qc": {"net_area": "DOUBLE", "spacing": "DOUBLE"},

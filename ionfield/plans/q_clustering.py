@@ -36,12 +36,12 @@ def _(spark, sf):
     return clustering.cluster_pixels(p2(spark, sf), 4, edges=graph.lattice_edges(p2_pixels(spark, sf), "queen"))
 
 
-@query("h0_augmented", f"""WITH {P2}, {ROOK2}, b AS (SELECT src, dst FROM rook2 UNION ALL SELECT dst, src FROM rook2), f AS (SELECT * FROM p2 WHERE feature IN ('mz_101','mz_102')),
+@query("h0_augmented", f"""WITH {P2}, {ROOK2}, b AS (SELECT src, dst FROM rook2 UNION ALL SELECT dst, src FROM rook2), f AS (SELECT * FROM p2),
 n AS (SELECT p.pixel_id, p.feature, any_value(p.value) AS v, coalesce(avg(q.value), any_value(p.value)) AS m FROM f p LEFT JOIN b ON b.src = p.pixel_id LEFT JOIN f q ON q.pixel_id = b.dst AND q.feature = p.feature GROUP BY 1, 2),
 s AS (SELECT feature, avg(v) AS mv, stddev_samp(v) AS sv, avg(m) AS mm, stddev_samp(m) AS sm FROM n GROUP BY 1)
 SELECT pixel_id, 'own_' || n.feature AS feature, round((v - mv) / sv * sqrt(0.5), 6) + 0.0 AS value FROM n JOIN s USING (feature) UNION ALL SELECT pixel_id, 'nbr_' || n.feature, round((m - mm) / sm * sqrt(0.5), 6) + 0.0 FROM n JOIN s USING (feature)""")
 def _(spark, sf):
-    return clustering.augmented(p2(spark, sf, 2), graph.lattice_edges(p2_pixels(spark, sf), "rook"))
+    return clustering.augmented(p2(spark, sf), graph.lattice_edges(p2_pixels(spark, sf), "rook"))
 
 
 GIVEN = "lb AS (SELECT pixel_id, x, y, CASE WHEN (x + y) % 7 < 3 THEN 1 ELSE 2 END AS cluster FROM p2p)"
@@ -58,11 +58,11 @@ def _(spark, sf):
     return clustering.adjacency_agreement(_given(spark, sf), graph.lattice_edges(p2_pixels(spark, sf), "rook"))
 
 
-@query("potts_energy", f"""WITH {P2}, {ROOK2}, {GIVEN}, d AS (SELECT cluster, feature, var_pop(value) * count(*) AS ss FROM p2 JOIN lb USING (pixel_id) WHERE feature IN ('mz_101','mz_102','mz_103') GROUP BY 1, 2),
+@query("potts_energy", f"""WITH {P2}, {ROOK2}, {GIVEN}, d AS (SELECT cluster, feature, var_pop(value) * count(*) AS ss FROM p2 JOIN lb USING (pixel_id) GROUP BY 1, 2),
 e AS (SELECT 0.7 * count(*) AS t FROM rook2 JOIN lb a ON a.pixel_id = src JOIN lb b ON b.pixel_id = dst WHERE a.cluster <> b.cluster)
-SELECT round(sum(ss) / 3, 6) AS data_term, round(any_value(t), 6) AS edge_term, round(sum(ss) / 3 + any_value(t), 6) AS energy FROM d, e""")
+SELECT round(sum(ss) / 64, 6) AS data_term, round(any_value(t), 6) AS edge_term, round(sum(ss) / 64 + any_value(t), 6) AS energy FROM d, e""")
 def _(spark, sf):
-    vectors = clustering.to_vectors(p2(spark, sf, 3), keys=("pixel_id",))
+    vectors = clustering.to_vectors(p2(spark, sf), keys=("pixel_id",))
     return clustering.potts_energy(vectors, _given(spark, sf), graph.lattice_edges(p2_pixels(spark, sf), "rook"), 0.7)
 
 
@@ -76,15 +76,9 @@ def _(spark, sf):
     return clustering.cluster_diagnostics(p2(spark, sf), 4)
 
 
-@query("silhouette_given", f"""WITH {P2}, {GIVEN}, v AS (SELECT pixel_id, max(value) FILTER (feature = 'mz_101') AS a, max(value) FILTER (feature = 'mz_102') AS b FROM p2 WHERE feature IN ('mz_101','mz_102') AND pixel_id < 300 GROUP BY 1),
-d AS (SELECT p.pixel_id, l.cluster AS la, m.cluster AS lb, avg(sqrt((p.a - q.a) ** 2 + (p.b - q.b) ** 2)) AS d FROM v p JOIN v q ON p.pixel_id <> q.pixel_id JOIN lb l ON l.pixel_id = p.pixel_id JOIN lb m ON m.pixel_id = q.pixel_id GROUP BY 1, 2, 3),
+@query("silhouette_given", f"""WITH {P2}, {GIVEN}, v AS (SELECT pixel_id, list(value ORDER BY feature) AS v FROM p2 GROUP BY 1),
+d AS (SELECT p.pixel_id, l.cluster AS la, m.cluster AS lb, avg(list_distance(p.v, q.v)) AS d FROM v p JOIN v q ON p.pixel_id <> q.pixel_id JOIN lb l ON l.pixel_id = p.pixel_id JOIN lb m ON m.pixel_id = q.pixel_id GROUP BY 1, 2, 3),
 s AS (SELECT pixel_id, max(d) FILTER (la = lb) AS o, min(d) FILTER (la <> lb) AS t FROM d GROUP BY 1) SELECT round(avg((t - o) / greatest(t, o)), 6) AS silhouette, count(*) AS n FROM s""")
-def _(spark, sf):
-    vectors = clustering.to_vectors(p2(spark, sf, 2).where("pixel_id < 300"), keys=("pixel_id",))
-    return clustering.silhouette(vectors, _given(spark, sf))
-
-
-@query("silhouette_all")
 def _(spark, sf):
     vectors = clustering.to_vectors(p2(spark, sf), keys=("pixel_id",))
     return clustering.silhouette(vectors, _given(spark, sf), None)

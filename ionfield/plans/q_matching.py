@@ -94,13 +94,13 @@ def _(spark, sf):
     return matching.ccs_evidence(obs, ref, 2.0, ("candidate_id",)).select("observation_id", "candidate_id", "ccs_grade", "supports_msi_identity", "passing_candidates", "ambiguous_candidate_set")
 
 
-@query("roi_concordance", f"""WITH {P1}, m AS (SELECT section_id || CAST(x // 10 AS VARCHAR) AS roi, feature, avg(value) AS v FROM p1 WHERE feature IN ('mz_101','mz_102','mz_103') GROUP BY 1, 2),
-mp(a, b) AS (VALUES ('mz_101','mz_102'), ('mz_101','mz_103')), x AS (SELECT mp.a, mp.b, m.v AS va, n.v AS vb FROM mp JOIN m ON m.feature = mp.a JOIN m n ON n.feature = mp.b AND n.roi = m.roi),
+@query("roi_concordance", f"""WITH {P1}, m AS (SELECT section_id || CAST(x // 10 AS VARCHAR) AS roi, feature, avg(value) AS v FROM p1 GROUP BY 1, 2),
+mp AS (SELECT 'mz_' || CAST(k AS VARCHAR) AS a, 'mz_' || CAST(k + 1 AS VARCHAR) AS b FROM (SELECT CAST(unnest(range(101, 150)) AS BIGINT) AS k)), x AS (SELECT mp.a, mp.b, m.v AS va, n.v AS vb FROM mp JOIN m ON m.feature = mp.a JOIN m n ON n.feature = mp.b AND n.roi = m.roi),
 r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY va) + (count(*) OVER (PARTITION BY a, b, va) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY a, b ORDER BY vb) + (count(*) OVER (PARTITION BY a, b, vb) - 1) / 2.0 AS rb FROM x)
 SELECT a AS msi_feature, b AS lcm_feature, count(*) AS n_pairs, round(corr(ra, rb), 6) AS correlation FROM r GROUP BY 1, 2""")
 def _(spark, sf):
-    rows = p1(spark, sf).where(F.col("feature").isin("mz_101", "mz_102", "mz_103")).groupBy(F.concat("section_id", F.floor(F.col("x") / 10).cast("string")).alias("roi_id"), "feature").agg(F.avg("value").alias("value"))
-    mapping = spark.createDataFrame([("mz_101", "mz_102"), ("mz_101", "mz_103")], "msi_feature string, lcm_feature string")
+    rows = p1(spark, sf).groupBy(F.concat("section_id", F.floor(F.col("x") / 10).cast("string")).alias("roi_id"), "feature").agg(F.avg("value").alias("value"))
+    mapping = spark.createDataFrame([(f"mz_{k}", f"mz_{k + 1}") for k in range(101, 150)], "msi_feature string, lcm_feature string")
     return matching.quantification_concordance(rows, rows, mapping, ("roi_id",))
 
 

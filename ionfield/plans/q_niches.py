@@ -40,9 +40,9 @@ def _(spark, sf):
     return niches.composition(p2_pixels(spark, sf), "knn", k=8).select("pixel_id", "type", "n", "proportion")
 
 
-@query("composition_soft", f"WITH {P2}, {KNN} SELECT src AS pixel_id, feature AS type, round(avg(value), 6) AS proportion FROM kn JOIN p2 ON p2.pixel_id = dst WHERE feature IN ('mz_101','mz_102') GROUP BY 1, 2")
+@query("composition_soft", f"WITH {P2}, {KNN} SELECT src AS pixel_id, feature AS type, round(avg(value), 6) AS proportion FROM kn JOIN p2 ON p2.pixel_id = dst GROUP BY 1, 2")
 def _(spark, sf):
-    soft = p2(spark, sf, 2).select("pixel_id", F.col("feature").alias("type"), F.col("value").alias("proportion"))
+    soft = p2(spark, sf).select("pixel_id", F.col("feature").alias("type"), F.col("value").alias("proportion"))
     return niches.soft_composition(p2_pixels(spark, sf), soft, 8)
 
 
@@ -158,12 +158,12 @@ def _(spark, sf):
     return distance.bin_rings(_distance(spark, sf), "fixed_width", ring_width=60.0).select("pixel_id", "distance", "ring")
 
 
-@query("distance_profiles", f"""WITH {P2}, {ROOK2}, {BOUNDARY}, {RINGS}, r AS (SELECT CAST(pixel_id % 4 AS BIGINT) AS subject_id, ring, feature, value, distance, pixel_id FROM p2 JOIN rg USING (pixel_id) WHERE feature IN ('mz_101','mz_102')),
+@query("distance_profiles", f"""WITH {P2}, {ROOK2}, {BOUNDARY}, {RINGS}, r AS (SELECT CAST(pixel_id % 4 AS BIGINT) AS subject_id, ring, feature, value, distance, pixel_id FROM p2 JOIN rg USING (pixel_id)),
 p AS (SELECT subject_id, ring FROM r GROUP BY 1, 2 HAVING count(DISTINCT pixel_id) >= 3), s AS (SELECT subject_id, ring FROM (SELECT *, count(*) OVER (PARTITION BY ring) AS k FROM p) WHERE k >= 2)
 SELECT r.subject_id, r.ring, feature, round(avg(value), 6) AS value, count(*) AS n_pixels, round(avg(distance), 6) + 0.0 AS mean_distance, any_value(s.ring) IS NOT NULL AS included FROM r LEFT JOIN s ON s.subject_id = r.subject_id AND s.ring = r.ring GROUP BY 1, 2, 3""")
 def _(spark, sf):
     rings = distance.bin_rings(_distance(spark, sf), "fixed_width", ring_width=60.0)
-    long = p2(spark, sf, 2).withColumn("subject_id", F.col("pixel_id") % 4)
+    long = p2(spark, sf).withColumn("subject_id", F.col("pixel_id") % 4)
     return distance.distance_profiles(long, rings, min_pixels=3).drop("section_id")
 
 

@@ -55,12 +55,11 @@ def _samples_sql(scope: str) -> str:
     return f"""WITH {P1}, a AS (SELECT pixel_id, section_id AS roi, x, y FROM p1p), b AS (SELECT *, min(x) OVER ({part}) AS x0, max(x) OVER ({part}) AS x1, min(y) OVER ({part}) AS y0, max(y) OVER ({part}) AS y1 FROM a),
 g AS (SELECT pixel_id, roi, CAST(greatest(1, ceil((x - x0) * 5 / (x1 - x0))) AS BIGINT) AS gx, CAST(greatest(1, ceil((y - y0) * 5 / (y1 - y0))) AS BIGINT) AS gy FROM b),
 t AS (SELECT roi, gx, gy, count(*) AS n_pixels FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 10)
-SELECT roi || '_' || gx || '_' || gy AS sample_id, feature, round(avg(value), 8) AS value, any_value(n_pixels) AS n_pixels FROM p1 JOIN g USING (pixel_id) JOIN t USING (roi, gx, gy) WHERE feature IN ('mz_101','mz_102','mz_103') GROUP BY 1, 2"""
+SELECT roi || '_' || gx || '_' || gy AS sample_id, feature, round(avg(value), 8) AS value, any_value(n_pixels) AS n_pixels FROM p1 JOIN g USING (pixel_id) JOIN t USING (roi, gx, gy) GROUP BY 1, 2"""
 
 
 def _subregions(spark, sf, scope):
-    long = p1(spark, sf).where(F.col("feature").isin("mz_101", "mz_102", "mz_103"))
-    return regions.sample_subregions(long, 5, 10, "section_id", scope).select("sample_id", "feature", "value", "n_pixels")
+    return regions.sample_subregions(p1(spark, sf), 5, 10, "section_id", scope).select("sample_id", "feature", "value", "n_pixels")
 
 
 @query("sample_subregions_global", _samples_sql("global"), 8)
@@ -73,11 +72,11 @@ def _(spark, sf):
     return _subregions(spark, sf, "roi")
 
 
-@query("sample_matched_regions", f"""WITH {P1}, r AS (SELECT p1.*, CASE WHEN x < 25 THEN 'west side' ELSE 'east' END AS region FROM p1 WHERE feature IN ('mz_101','mz_102')),
+@query("sample_matched_regions", f"""WITH {P1}, r AS (SELECT p1.*, CASE WHEN x < 25 THEN 'west side' ELSE 'east' END AS region FROM p1),
 n AS (SELECT section_id, region, count(DISTINCT pixel_id) AS n_pixels FROM r GROUP BY 1, 2 HAVING count(DISTINCT pixel_id) >= 30)
 SELECT section_id || '__' || replace(region, ' ', '%20') AS sample_id, feature, round(avg(value), 8) AS value, any_value(n_pixels) AS n_pixels FROM r JOIN n USING (section_id, region) GROUP BY 1, 2""", 8)
 def _(spark, sf):
-    long = p1(spark, sf).where(F.col("feature").isin("mz_101", "mz_102")).withColumn("region", F.when(F.col("x") < 25, "west side").otherwise("east"))
+    long = p1(spark, sf).withColumn("region", F.when(F.col("x") < 25, "west side").otherwise("east"))
     return regions.sample_matched_regions(long, "region").select("sample_id", "feature", "value", "n_pixels")
 
 

@@ -202,9 +202,9 @@ def _(spark, sf):
 
 @query("neighborhood_average", f"""WITH {P2}, {ROOK2}, b AS (SELECT src, dst FROM rook2 UNION ALL SELECT dst, src FROM rook2)
 SELECT p.pixel_id, p.feature, round(p.value, 6) AS value, round(coalesce(avg(q.value), any_value(p.value)), 6) AS neighbor_mean FROM p2 p LEFT JOIN b ON b.src = p.pixel_id LEFT JOIN p2 q ON q.pixel_id = b.dst AND q.feature = p.feature
-WHERE p.feature IN ('mz_101','mz_102','mz_103') GROUP BY 1, 2, 3""")
+GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    return graph.neighborhood_average(p2(spark, sf, 3), graph.lattice_edges(p2_pixels(spark, sf), "rook"))
+    return graph.neighborhood_average(p2(spark, sf), graph.lattice_edges(p2_pixels(spark, sf), "rook"))
 
 
 # --- spatially variable features --------------------------------------------------------------------
@@ -229,9 +229,9 @@ def _(spark, sf):
     return svg.autocorrelation(p1(spark, sf), edges, "geary").select("feature", "statistic", "n_effective", "n_edges")
 
 
-N_PERM = 19
+N_PERM = 199
 PERM2 = f"""
-f AS (SELECT * FROM p2 WHERE feature IN ('mz_101','mz_102','mz_103','mz_104')),
+f AS (SELECT * FROM p2),
 nd AS (SELECT pixel_id AS id FROM p2p WHERE pixel_id IN (SELECT src FROM rook2 UNION SELECT dst FROM rook2)),
 sl AS ({md5_slots('nd', N_PERM, 1)}),
 rk AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY pixel_id) AS slot FROM f JOIN nd ON nd.id = f.pixel_id),
@@ -247,68 +247,79 @@ def _bh(col: str, source: str, out: str = "adj") -> str:
     return f"(SELECT feature, min(raw) OVER (ORDER BY {col} DESC, rn ROWS UNBOUNDED PRECEDING) AS {out} FROM (SELECT *, least(1.0, {col} * count(*) OVER () / (count(*) OVER () - rn + 1)) AS raw FROM (SELECT *, row_number() OVER (ORDER BY {col} DESC) AS rn FROM {source})))"
 
 
-def _small(spark, sf):
-    return p2(spark, sf, 4), graph.lattice_edges(p2_pixels(spark, sf), "rook")
+def _whole(spark, sf):
+    return p2(spark, sf), graph.lattice_edges(p2_pixels(spark, sf), "rook")
 
 
 @query("moran_perm", f"WITH {P2}, {ROOK2}, {PERM2} SELECT pv.feature, round(i, 6) AS statistic, round(pi, 6) AS p_value FROM pv")
 def _(spark, sf):
-    return svg.autocorrelation(*_small(spark, sf), "moran", N_PERM).select("feature", "statistic", "p_value")
+    return svg.autocorrelation(*_whole(spark, sf), "moran", N_PERM).select("feature", "statistic", "p_value")
 
 
 @query("geary_perm", f"WITH {P2}, {ROOK2}, {PERM2} SELECT pv.feature, round(c, 6) AS statistic, round(pc, 6) AS p_value FROM pv")
 def _(spark, sf):
-    return svg.autocorrelation(*_small(spark, sf), "geary", N_PERM).select("feature", "statistic", "p_value")
+    return svg.autocorrelation(*_whole(spark, sf), "geary", N_PERM).select("feature", "statistic", "p_value")
 
 
 @query("compare_svg", f"""WITH {P2}, {ROOK2}, {PERM2}, a AS {_bh('pi', 'pv', 'ai')}, b AS {_bh('pc', 'pv', 'ac')}
-SELECT a.feature, round(ai, 6) AS moran_p, round(ac, 6) AS geary_p, CASE WHEN ai < 0.3 AND ac < 0.3 THEN 'both' WHEN ai < 0.3 THEN 'moran_only' WHEN ac < 0.3 THEN 'geary_only' ELSE 'neither' END AS agreement FROM a JOIN b USING (feature)""")
-def _(spark, sf):
-    a = svg.autocorrelation(*_small(spark, sf), "moran", N_PERM)
-    return svg.compare_methods(a, svg.autocorrelation(*_small(spark, sf), "geary", N_PERM), 0.3)
-
-
-@query("binspect_rank", f"""WITH {P2}, {ROOK2}, f AS (SELECT * FROM p2 WHERE feature IN ('mz_101','mz_102','mz_103','mz_104')), c AS (SELECT feature, quantile_cont(value, 0.7) AS threshold FROM f GROUP BY 1),
-h AS (SELECT pixel_id, f.feature, value, threshold, value >= threshold AS high FROM f JOIN c USING (feature)),
-e AS (SELECT a.feature, a.high AS hi, b.high AS hj, src, dst FROM rook2 JOIN h a ON a.pixel_id = src JOIN h b ON b.pixel_id = dst AND a.feature = b.feature),
-t AS (SELECT feature, 2.0 * count(*) FILTER (NOT hi AND NOT hj) AS n00, 1.0 * count(*) FILTER (hi <> hj) AS n01, 2.0 * count(*) FILTER (hi AND hj) AS n11 FROM e GROUP BY 1),
-nb AS (SELECT feature, id, count(*) AS k FROM (SELECT feature, src AS id FROM e WHERE hi AND hj UNION ALL SELECT feature, dst FROM e WHERE hi AND hj) GROUP BY 1, 2),
-hb AS (SELECT feature, count(*) AS n_hubs FROM nb WHERE k >= 3 GROUP BY 1)
-SELECT h.feature, round(any_value(threshold), 6) AS threshold, count(*) FILTER (high) AS n_high, round(avg(value) FILTER (high), 6) AS mean_high, any_value(n00) AS n00, any_value(n01) AS n01, any_value(n11) AS n11, round(any_value(n00) * any_value(n11) / (any_value(n01) * any_value(n01)), 6) AS odds_ratio, coalesce(any_value(n_hubs), 0) AS n_hubs, 'tested' AS status
-FROM h JOIN t USING (feature) LEFT JOIN hb USING (feature) GROUP BY 1""")
-def _(spark, sf):
-    return svg.binspect(*_small(spark, sf)).drop("mean_low")
-
-
-# The same operators on every feature and with the reference's permutations, which the SQL above does not take.
-ALL_PERM = 199
+SELECT a.feature, round(ai, 6) AS moran_p, round(ac, 6) AS geary_p, CASE WHEN ai < 0.05 AND ac < 0.05 THEN 'both' WHEN ai < 0.05 THEN 'moran_only' WHEN ac < 0.05 THEN 'geary_only' ELSE 'neither' END AS agreement FROM a JOIN b USING (feature)""")
+def _(spark, sf):
+    a = svg.autocorrelation(*_whole(spark, sf), "moran", N_PERM)
+    return svg.compare_methods(a, svg.autocorrelation(*_whole(spark, sf), "geary", N_PERM))
+
+
+BIN = """
+st AS (SELECT pixel_id, p2.feature, value, threshold, CAST(value >= cut AS DOUBLE) AS high FROM p2 JOIN ct USING (feature)),
+eb AS (SELECT a.feature, src, dst, a.high AS hi, b.high AS hj FROM rook2 JOIN st a ON a.pixel_id = src JOIN st b ON b.pixel_id = dst AND a.feature = b.feature),
+tb AS (SELECT feature, 2.0 * count(*) FILTER (hi + hj = 0) AS n00, 1.0 * count(*) FILTER (hi + hj = 1) AS n01, 2.0 * count(*) FILTER (hi + hj = 2) AS n11, sum(hi * hj) AS hh, count(*) AS n_edges FROM eb GROUP BY 1),
+hb AS (SELECT feature, count(DISTINCT id) AS n_hubs FROM (SELECT feature, src AS id FROM eb WHERE hi * hj = 1 UNION ALL SELECT feature, dst FROM eb WHERE hi * hj = 1) GROUP BY 1),
+mn AS (SELECT feature, any_value(threshold) AS threshold, count(*) FILTER (high = 1) AS n_high, avg(value) AS mean_value, avg(value) FILTER (high = 1) AS mean_high, count(*) AS n FROM st JOIN nd ON nd.id = st.pixel_id GROUP BY 1),
+bo AS (SELECT feature, n00, n01, n11, n00 * n11 / nullif(n01 * n01, 0) AS odds_ratio, hh AS high_high_edge_weight, n_edges, coalesce(n_hubs, 0) AS n_hubs, threshold, n_high, n_high / n AS high_fraction, n AS n_effective, mean_value, mean_high FROM tb JOIN mn USING (feature) LEFT JOIN hb USING (feature)),
+rh AS (SELECT feature, high, row_number() OVER (PARTITION BY feature ORDER BY pixel_id) AS slot FROM st JOIN nd ON nd.id = st.pixel_id),
+sb AS (SELECT feature, perm, id, high FROM sl JOIN rh USING (slot)),
+nb AS (SELECT a.feature, a.perm, sum(a.high * b.high) AS x FROM rook2 e JOIN sb a ON a.id = e.src JOIN sb b ON b.id = e.dst AND a.feature = b.feature AND a.perm = b.perm GROUP BY 1, 2),
+pb AS (SELECT feature, (count(*) FILTER (x >= high_high_edge_weight - 1e-9) + 1) / (count(*) + 1) AS pb FROM nb JOIN bo USING (feature) GROUP BY 1)
+"""
+BY_RANK = "ct AS (SELECT feature, quantile_cont(value, 0.7) AS cut, quantile_cont(value, 0.7) AS threshold FROM p2 GROUP BY 1)"
+BY_MEANS = """
+u AS (SELECT feature, value, count(*) AS n FROM p2 GROUP BY 1, 2),
+us AS (SELECT feature, value, sum(n) OVER up AS k, sum(n * value) OVER up AS s, sum(n) OVER (PARTITION BY feature) AS an, sum(n * value) OVER (PARTITION BY feature) AS al FROM u WINDOW up AS (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ct AS (SELECT feature, value AS cut, (s / k + (al - s) / (an - k)) / 2 AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(s * s / k + (al - s) * (al - s) / (an - k), 9) DESC, value) AS r FROM us WHERE k > 0) WHERE r = 1)
+"""
+BIN_COLUMNS = ["odds_ratio", "high_high_edge_weight", "high_fraction", "threshold", "mean_value", "mean_high"]
+BIN_COUNTS = ["n00", "n01", "n11", "n_high", "n_effective", "n_edges", "n_hubs"]
+_BIN_SELECT = ", ".join([f"round({c}, 6) AS {c}" for c in BIN_COLUMNS] + BIN_COUNTS)
 
 
-def _whole(spark, sf):
-    return p2(spark, sf), graph.lattice_edges(p2_pixels(spark, sf), "rook")
+def _binspect_sql(cut: str, p: str) -> str:
+    return f"WITH {P2}, {ROOK2}, {PERM2}, {cut}, {BIN}, pp AS ({p}), aj AS {_bh('p', 'pp', 'adj_p_value')} SELECT feature, round(p, 6) AS p_value, round(adj_p_value, 6) AS adj_p_value, {_BIN_SELECT}, 'tested' AS status FROM bo JOIN pp USING (feature) JOIN aj USING (feature)"
 
 
-@query("neighborhood_average_all")
-def _(spark, sf):
-    return graph.neighborhood_average(*_whole(spark, sf))
+_PERM_P = "SELECT feature, pb AS p FROM pb"
+_FISHER_P = """SELECT feature, least(1.0, sum(exp(lgamma(n11 + n01 + 1) - lgamma(x + 1) - lgamma(n11 + n01 - x + 1) + lgamma(n01 + n00 + 1) - lgamma(n11 + n01 - x + 1) - lgamma(n01 + n00 - (n11 + n01 - x) + 1)
+  - (lgamma(n11 + 2 * n01 + n00 + 1) - lgamma(n11 + n01 + 1) - lgamma(n01 + n00 + 1))))) AS p
+FROM (SELECT *, unnest(range(CAST(greatest(n11, n11 - n00) AS BIGINT), CAST(n11 + n01 AS BIGINT) + 1)) AS x FROM bo) GROUP BY feature"""
 
 
-@query("moran_perm_all")
+@query("binspect_rank", _binspect_sql(BY_RANK, _PERM_P))
 def _(spark, sf):
-    return svg.autocorrelation(*_whole(spark, sf), "moran", ALL_PERM).select("feature", "statistic", "p_value")
+    return svg.binspect(*_whole(spark, sf), "rank")
 
 
-@query("geary_perm_all")
+@query("binspect_kmeans", _binspect_sql(BY_MEANS, _PERM_P))
 def _(spark, sf):
-    return svg.autocorrelation(*_whole(spark, sf), "geary", ALL_PERM).select("feature", "statistic", "p_value")
+    return svg.binspect(*_whole(spark, sf))
 
 
-@query("compare_svg_all")
+@query("binspect_fisher", _binspect_sql(BY_MEANS, _FISHER_P))
 def _(spark, sf):
-    a = svg.autocorrelation(*_whole(spark, sf), "moran", ALL_PERM)
-    return svg.compare_methods(a, svg.autocorrelation(*_whole(spark, sf), "geary", ALL_PERM))
+    return svg.binspect(*_whole(spark, sf), inference="fisher_approx")
 
 
-@query("binspect_all")
+@query("compare_svg_methods", f"""WITH {P2}, {ROOK2}, {PERM2}, {BY_MEANS}, {BIN}, a AS {_bh('pi', 'pv', 'ai')}, b AS {_bh('pc', 'pv', 'ac')}, c AS {_bh('pb', 'pb', 'ab')}
+SELECT feature, round(i, 6) AS morans_i, round(ai, 6) AS moran_adj_p, round(c, 6) AS gearys_c, round(ac, 6) AS geary_adj_p, round(odds_ratio, 6) AS odds_ratio, round(ab, 6) AS binspect_adj_p,
+  ai < 0.05 AS moran_significant, ac < 0.05 AS geary_significant, ab < 0.05 AS binspect_significant, 3 AS n_methods_tested, CAST(ai < 0.05 AS INTEGER) + CAST(ac < 0.05 AS INTEGER) + CAST(ab < 0.05 AS INTEGER) AS n_methods_significant, ai < 0.05 AND ac < 0.05 AND ab < 0.05 AS all_tested_methods_significant
+FROM pv JOIN a USING (feature) JOIN b USING (feature) JOIN c USING (feature) JOIN bo USING (feature)""")
 def _(spark, sf):
-    return svg.binspect(*_whole(spark, sf)).drop("mean_low")
+    data = _whole(spark, sf)
+    return svg.compare_svg_methods(svg.autocorrelation(*data, "moran", N_PERM), svg.autocorrelation(*data, "geary", N_PERM), svg.binspect(*data))

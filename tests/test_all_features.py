@@ -1,30 +1,15 @@
 import hashlib
 import os
-import re
 
 import numpy as np
 import pytest
 
-from ionfield.plans.catalogue import ORACLE_SQL, QUERIES
-from tests.oracle import connect, duck_rows, spark_rows
+from ionfield.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
 
-def every_feature(sql):
-    return re.sub(r"(WHERE|AND) (p\.)?feature IN \([^)]*\)", r"\1 true", sql)
-
-
-@pytest.mark.parametrize("name, whole", [("neighborhood_average", "neighborhood_average_all"), ("binspect_rank", "binspect_all")])
-def test_all_features_match_the_sql_without_its_list(spark, name, whole):
-    sql = every_feature(ORACLE_SQL[name])
-    assert sql != ORACLE_SQL[name]
-    rows = spark_rows(QUERIES[whole](spark, SF))
-    assert rows == duck_rows(connect(SF), sql)
-    assert len({r[rows[0].index("feature")] for r in rows[1]}) == 64
-
-
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
     """The first 40 pixels, as a data folder of their own."""
@@ -67,14 +52,14 @@ def bh(p):
 
 def test_permutations_of_all_features_are_brute_force(spark, small):
     want = brute(spark, small)
-    for name, at in (("moran_perm_all", 0), ("geary_perm_all", 2)):
+    for name, at in (("moran_perm", 0), ("geary_perm", 2)):
         got = {r.feature: (r.statistic, r.p_value) for r in QUERIES[name](spark, small).collect()}
         assert got.keys() == want.keys()
         for f, w in want.items():
             assert got[f] == pytest.approx(w[at : at + 2], abs=2e-6)
     names = sorted(want)
     a, b = bh([want[f][1] for f in names]), bh([want[f][3] for f in names])
-    got = {r.feature: r for r in QUERIES["compare_svg_all"](spark, small).collect()}
+    got = {r.feature: r for r in QUERIES["compare_svg"](spark, small).collect()}
     for f, x, y in zip(names, a, b, strict=True):
         assert (got[f].moran_p, got[f].geary_p) == pytest.approx((x, y), abs=2e-6)
         assert got[f].agreement == ("both" if x < 0.05 and y < 0.05 else "moran_only" if x < 0.05 else "geary_only" if y < 0.05 else "neither")

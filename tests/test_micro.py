@@ -127,6 +127,28 @@ def test_block_beats_checkerboard(spark):
     assert again == {k: r["p_value"] for k, r in out.items()}
 
 
+def test_autocorrelation_with_missing_values_per_feature(spark):
+    """Features on different sets of nodes form groups of their own; each is as if it were alone."""
+    edges = graph.lattice_edges(grid(spark, 5, 5), "rook")
+    values = {"mz_1": [float(i * i % 7) for i in range(25)], "mz_2": [None if i % 6 == 0 else float(i % 5) for i in range(25)], "mz_3": [float(i % 3) if i < 20 else None for i in range(25)]}
+    frames = {f: long_of(spark, list(enumerate(v)), f) for f, v in values.items()}
+    together = frames["mz_1"].unionByName(frames["mz_2"]).unionByName(frames["mz_3"])
+    for statistic in ("moran", "geary"):
+        got = {r["feature"]: r for r in svg.autocorrelation(together, edges, statistic, 19).collect()}
+        for f, frame in frames.items():
+            alone = svg.autocorrelation(frame, edges, statistic, 19).first()
+            assert (got[f]["statistic"], got[f]["p_value"], got[f]["n_effective"]) == (pytest.approx(alone["statistic"]), alone["p_value"], alone["n_effective"])
+
+
+def test_two_means_against_all_splits(spark):
+    rng = np.random.default_rng(2)
+    for n in (2, 5, 30):
+        v = np.round(rng.gamma(1.0, 3.0, n), 1)
+        cost = {c: v[v < c].var() * (v < c).sum() + v[v >= c].var() * (v >= c).sum() for c in sorted(set(v))[1:]}
+        got = svg.two_means(long_of(spark, list(enumerate(v.tolist())))).first()
+        assert cost[got["cut"]] == pytest.approx(min(cost.values())) and got["threshold"] == pytest.approx((v[v < got["cut"]].mean() + v[v >= got["cut"]].mean()) / 2)
+
+
 # --- preprocessing
 
 

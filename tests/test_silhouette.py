@@ -39,5 +39,5 @@ def test_query_takes_every_pixel_and_feature(spark):
 
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").select("vec_id", F.transform("embedding", lambda e: F.abs(e.cast("double")))).collect()
     x, ids = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
-    s, n = QUERIES["silhouette_all"](spark, SF).first()
+    s, n = QUERIES["silhouette_given"](spark, SF).first()
     assert n == len(rows) and s == pytest.approx(brute(x, np.where((ids % 25 + ids // 25) % 7 < 3, 1, 2)), abs=2e-6)
