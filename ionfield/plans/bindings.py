@@ -6,31 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Pixel numbers of a section.
+SECTION = 1_000_000_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def p1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels from lineitem, long and zero-filled: section_id, pixel_id, x, y, feature, value."""
+    """Pixels from lineitem, long and zero-filled: section_id, pixel_id, x, y, feature, value.  A section is 40 high
+    and as wide as there are suppliers, so it grows with the scale factor."""
     cells = table(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("section_id"), (F.col("l_suppkey") % 50).alias("x"), (F.col("l_partkey") % 40).alias("y"),
+        F.col("l_returnflag").alias("section_id"), F.col("l_suppkey").alias("x"), (F.col("l_partkey") % 40).alias("y"),
         F.col("l_quantity").cast("long").alias("f"), "l_extendedprice",
     ).groupBy("section_id", "x", "y", "f").agg(F.sum("l_extendedprice").alias("v"))
     per_pixel = cells.groupBy("section_id", "x", "y").agg(F.map_from_entries(F.collect_list(F.struct("f", "v"))).alias("m"))
     return per_pixel.select(
-        "section_id", (F.ascii("section_id") * 1000000 + F.col("x") * 1000 + F.col("y")).alias("pixel_id"), "x", "y",
+        "section_id", (F.ascii("section_id") * SECTION + F.col("x") * 1000 + F.col("y")).alias("pixel_id"), "x", "y",
         F.explode(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda f: F.struct(F.concat(F.lit("mz_"), (f + 100).cast("string")).alias("feature"), F.coalesce(F.element_at("m", f.cast("long")), F.lit(0.0)).alias("value")))).alias("c"),
     ).select("section_id", "pixel_id", "x", "y", "c.feature", "c.value")
 
 
 def p1_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("section_id"), (F.col("l_suppkey") % 50).alias("x"), (F.col("l_partkey") % 40).alias("y")).distinct()
-    return cells.withColumn("pixel_id", F.ascii("section_id") * 1000000 + F.col("x") * 1000 + F.col("y"))
+    cells = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("section_id"), F.col("l_suppkey").alias("x"), (F.col("l_partkey") % 40).alias("y")).distinct()
+    return cells.withColumn("pixel_id", F.ascii("section_id") * SECTION + F.col("x") * 1000 + F.col("y"))
 
 
-P1 = """
-p1c AS (SELECT l_returnflag AS section_id, l_suppkey % 50 AS x, l_partkey % 40 AS y, CAST(l_quantity AS BIGINT) AS f, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2, 3, 4),
-p1p AS (SELECT DISTINCT section_id, x, y, CAST(ascii(section_id) * 1000000 + x * 1000 + y AS BIGINT) AS pixel_id FROM p1c),
+P1 = f"""
+p1c AS (SELECT l_returnflag AS section_id, l_suppkey AS x, l_partkey % 40 AS y, CAST(l_quantity AS BIGINT) AS f, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2, 3, 4),
+p1p AS (SELECT DISTINCT section_id, x, y, CAST(ascii(section_id) AS BIGINT) * {SECTION} + x * 1000 + y AS pixel_id FROM p1c),
 p1 AS (SELECT p.section_id, p.pixel_id, p.x, p.y, 'mz_' || CAST(100 + g.f AS VARCHAR) AS feature, coalesce(c.v, 0.0) AS value
   FROM p1p p CROSS JOIN (SELECT CAST(unnest(range(1, 51)) AS BIGINT) AS f) g LEFT JOIN p1c c ON c.section_id = p.section_id AND c.x = p.x AND c.y = p.y AND c.f = g.f)
 """
