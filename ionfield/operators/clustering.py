@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import EPS
-from ..storage import ship_package
+from ..storage import materialize, ship_package
 from .graph import both_ways, neighborhood_average
 from .preprocess import scale_features
 
@@ -125,9 +125,14 @@ def icm(x: np.ndarray, label: np.ndarray, near: list[list[tuple[int, float]]], b
 def cluster_pixels_hmrf(long: DataFrame, edges: DataFrame, k: int = 3, beta: float = 1.0, seed: int = 1, max_iter: int = 20) -> DataFrame:
     """(section_id, pixel_id, cluster): k-means labels smoothed by ICM, a task per section (a section is one
     measured field, whose size does not grow with the number of sections)."""
-    ship_package(long.sparkSession)
     vectors = to_vectors(scale_features(long), keys=("section_id", "pixel_id"))
     start = kmeans(vectors, k, seed=seed)[0].select("section_id", "pixel_id", "v", "cluster")
+    return _smoothed(start, edges, beta, max_iter).select("section_id", "pixel_id", "cluster")
+
+
+def _smoothed(start: DataFrame, edges: DataFrame, beta: float, max_iter: int) -> DataFrame:
+    """(section_id, pixel_id, cluster, sweeps, converged) from (section_id, pixel_id, v, cluster)."""
+    ship_package(start.sparkSession)
     near = both_ways(edges).groupBy(F.col("src").alias("pixel_id")).agg(F.collect_list(F.struct("dst", "weight")).alias("near"))
     rows = start.join(near, "pixel_id", "left")
 
@@ -136,10 +141,43 @@ def cluster_pixels_hmrf(long: DataFrame, edges: DataFrame, k: int = 3, beta: flo
         at = {p: i for i, p in enumerate(pdf.pixel_id)}
         names, label = np.unique(pdf.cluster, return_inverse=True)
         adjacent = [[(at[n["dst"]], n["weight"]) for n in (r if r is not None else [])] for r in pdf.near]
-        out, _ = icm(np.array(pdf.v.tolist()), label, adjacent, beta, max_iter)
-        return pd.DataFrame({"section_id": key[0], "pixel_id": pdf.pixel_id, "cluster": names[out]})
+        out, log = icm(np.array(pdf.v.tolist()), label, adjacent, beta, max_iter)
+        settled = len(log) < 2 or log[-2] - log[-1] <= 1e-9
+        return pd.DataFrame({"section_id": key[0], "pixel_id": pdf.pixel_id, "cluster": names[out], "sweeps": len(log) - 1, "converged": settled})
 
-    return rows.groupBy("section_id").applyInPandas(smooth, "section_id string, pixel_id long, cluster int")
+    return rows.groupBy("section_id").applyInPandas(smooth, "section_id string, pixel_id long, cluster int, sweeps int, converged boolean")
+
+
+def cluster_diagnostics_spatial(long: DataFrame, edges: DataFrame, k: int = 3, lambda_grid=(0.0, 0.25, 0.5, 0.75, 1.0), pca_components: int | None = None, nstart: int = 5, seed: int = 1) -> DataFrame:
+    """(lambda, k, tot_withinss, adjacent_pair_agreement, boundary_edge_fraction, n_edges_undirected, n_isolated),
+    a row per weight of the neighbours.  Agreement describes smoothness; it is no measure of accuracy."""
+    nodes = long.select("pixel_id").distinct()
+    n_isolated = nodes.join(edges.select(F.explode(F.array("src", "dst")).alias("pixel_id")), "pixel_id", "left_anti").count()
+    out = []
+    for lam in lambda_grid:
+        vectors = to_vectors(augmented(long, edges, lam), keys=("pixel_id",))
+        vectors = materialize(pca(vectors, pca_components)[0] if pca_components else vectors, "augmented")
+        labels, _, within = kmeans(vectors, k, nstart, seed)
+        r = adjacency_agreement(materialize(labels.select("pixel_id", "cluster"), "labels"), edges).first()
+        out.append((float(lam), k, within, r["adjacent_pair_agreement"], 1 - r["adjacent_pair_agreement"], r["n_edges"], n_isolated))
+    return long.sparkSession.createDataFrame(out, "lambda double, k int, tot_withinss double, adjacent_pair_agreement double, boundary_edge_fraction double, n_edges_undirected long, n_isolated long")
+
+
+def cluster_diagnostics_hmrf(long: DataFrame, edges: DataFrame, k: int = 3, beta_grid=(0.0, 0.5, 1.0, 2.0, 4.0), seed: int = 1, max_iter: int = 20) -> DataFrame:
+    """(beta, k, data_energy, spatial_energy, total_energy, tot_withinss, n_iterations, converged,
+    adjacent_pair_agreement, boundary_edge_fraction, n_edges_undirected), a row per beta; all start from one
+    k-means fit.  Iterations are the most that a section took."""
+    vectors = materialize(to_vectors(scale_features(long), keys=("section_id", "pixel_id")), "vectors")
+    fit, _, within = kmeans(vectors, k, seed=seed)
+    start = materialize(fit.select("section_id", "pixel_id", "v", "cluster"), "start")
+    out = []
+    for beta in beta_grid:
+        smoothed = materialize(_smoothed(start, edges, beta, max_iter), "smoothed")
+        labels = smoothed.select("pixel_id", "cluster")
+        e, a = potts_energy(start.select("pixel_id", "v"), labels, edges, beta).first(), adjacency_agreement(labels, edges).first()
+        s = smoothed.agg(F.max("sweeps").alias("sweeps"), F.min("converged").alias("converged")).first()
+        out.append((float(beta), k, e["data_term"], e["edge_term"], e["energy"], within, s["sweeps"], s["converged"], a["adjacent_pair_agreement"], 1 - a["adjacent_pair_agreement"], a["n_edges"]))
+    return long.sparkSession.createDataFrame(out, "beta double, k int, data_energy double, spatial_energy double, total_energy double, tot_withinss double, n_iterations int, converged boolean, adjacent_pair_agreement double, boundary_edge_fraction double, n_edges_undirected long")
 
 
 SILHOUETTE_BLOCK = 2048
@@ -214,6 +252,40 @@ def define_niches(composition: DataFrame, types: list[str], k: int, transform: s
     return niche_distances(profiles, table)
 
 
+SINGLE_FIELD = ".__single_field__"
+
+
+def detect_spatial_niches(pixels: DataFrame, k_niches: int, label: str = "domain", subject: str | None = None, section: str | None = None, method: str = "radius", radius: float = 1.5, k: int = 10, include_self: bool = True, min_neighbors: int = 3, transform: str = "hellinger", seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Niches of (pixel_id, x, y, label, ...) from neighbourhood compositions within subject-section fields.
+
+    Returns the pixels, with n_neighbors, eligible, exclusion_reason, niche, niche_label, nearest, second and
+    ambiguity_ratio, and the exclusion summary (field_id, n_pixels, n_eligible, n_excluded, excluded_fraction).
+    Labels and field identifiers must not be missing or empty; pixel_ids are unique over all fields.  Labels that
+    occur span the composition, so fields are jointly clustered."""
+    from .niches import composition
+
+    given = [c for c in (subject, section) if c]
+    bad = " or ".join(f"`{c}` is null or cast(`{c}` as string) = ''" for c in (label, *given))
+    if not pixels.where(bad).isEmpty():
+        raise ValueError("labels and field identifiers must be non-missing and non-empty")
+    field = F.concat_ws("\r", *(F.col(c).cast("string") for c in given)) if given else F.lit(SINGLE_FIELD)
+    at = pixels.withColumn("field_id", field)
+    rows = materialize(composition(at, method, radius, k, include_self, min_neighbors, label, ("field_id",)), "composition")
+    types = [r[0] for r in at.select(label).distinct().orderBy(label).collect()]  # kinds of domains, a fixed few
+    found = define_niches(rows, types, k_niches, transform, seed)
+    counts = rows.select("pixel_id", "n_neighbors", "eligible").distinct()
+    out = at.join(counts, "pixel_id", "left").join(found, "pixel_id", "left")
+    out = out.withColumns({"n_neighbors": F.coalesce("n_neighbors", F.lit(0)), "eligible": F.coalesce("eligible", F.lit(False))})
+    out = out.withColumns({"exclusion_reason": F.when(~F.col("eligible"), "below_min_neighbors"), "niche_label": F.concat(F.lit("niche_"), F.col("niche").cast("string"))})
+    return out, exclusion_summary(out)
+
+
+def exclusion_summary(pixels: DataFrame) -> DataFrame:
+    """(field_id, n_pixels, n_eligible, n_excluded, excluded_fraction) of (field_id, eligible)."""
+    n, kept = F.count("*"), F.sum(F.col("eligible").cast("long"))
+    return pixels.groupBy("field_id").agg(n.alias("n_pixels"), kept.alias("n_eligible"), (n - kept).alias("n_excluded"), ((n - kept) / n).alias("excluded_fraction"))
+
+
 def nnls(a: np.ndarray, b: np.ndarray, iterations: int = 500) -> np.ndarray:
     """Non-negative least squares by active sets (Lawson and Hanson)."""
     n = a.shape[1]

@@ -45,7 +45,7 @@ def distance_edges(nodes: DataFrame, threshold: float, keys=("section_id",), nod
     return pairs.select(*keys, "src", "dst", F.sqrt("d2").alias("distance"), F.lit(1.0).alias("weight"))
 
 
-def knn_pairs(a: DataFrame, b: DataFrame, k: int, start: float, keys=("section_id",), growth: float = 2.0, max_rounds: int = 20) -> DataFrame:
+def knn_pairs(a: DataFrame, b: DataFrame, k: int, start: float, keys=("section_id",), growth: float = 2.0) -> DataFrame:
     """(keys, src, dst, d2, rank): the k rows of b nearest to each row of a, ties by dst.
 
     The search radius grows for the rows that haven't met k others yet, so dense parts never pay for sparse
@@ -55,7 +55,7 @@ def knn_pairs(a: DataFrame, b: DataFrame, k: int, start: float, keys=("section_i
     spans = b.groupBy(*keys).agg((F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) * 1.5 + start).alias("span"), F.count("*").alias("size"))
     todo, done, radius = a.select(*keys, "id", "x", "y"), None, start
     rank = F.row_number().over(Window.partitionBy(*keys, "src").orderBy("d2", "dst"))
-    for _ in range(max_rounds):
+    while True:  # ends when the radius covers the widest section
         pairs = materialize(radius_pairs(todo, b, radius, keys).withColumn("rank", rank).where(F.col("rank") <= k), "pairs")
         got = pairs.groupBy(*keys, F.col("src").alias("id")).agg(F.count("*").alias("n"))
         state = todo.join(got, [*keys, "id"], "left").join(spans, list(keys), "left")

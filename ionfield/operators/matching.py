@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import EPS, ROOT_EPS, add_hydrogen, average_rank, best_overlap, formula_overlap
-from ..storage import ship_package
+from ..storage import small, ship_package
 from .components import connected_components
 
 
@@ -31,7 +31,7 @@ def nearest_intensity(spectra: DataFrame, targets: DataFrame, ppm: float = 10) -
     peaks = spectra.select("pixel_id", F.explode(F.arrays_zip("mz", "intensity")).alias("p")).select("pixel_id", F.col("p.mz").alias("q_mz"), F.col("p.intensity").alias("intensity"))
     hits = ppm_pairs(peaks, targets.select("feature", F.col("target").alias("r_mz")), ppm)
     best = hits.groupBy("pixel_id", "feature").agg(F.min_by("intensity", F.struct(F.abs(F.col("q_mz") - F.col("r_mz")), F.col("q_mz"))).alias("value"))
-    grid = spectra.select("pixel_id").join(F.broadcast(targets.select("feature")), how="cross")  # every pixel has every target: the output
+    grid = spectra.select("pixel_id").join(small(targets.select("feature")), how="cross")  # every pixel has every target: the output
     return grid.join(best, ["pixel_id", "feature"], "left").select("pixel_id", "feature", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
@@ -182,7 +182,7 @@ def msms_evidence(scans: DataFrame, peaks: DataFrame, diagnostics: DataFrame, pr
     if width is not None:
         cell = lambda c: F.floor(F.col(c) / width).cast("long")
         d = diagnostics.withColumn("_c", F.explode(F.array(*(cell("target_mz") + i for i in (-1, 0, 1)))))
-        pairs = peaks.withColumn("_c", cell("fragment_mz")).join(F.broadcast(d), "_c").drop("_c").where(F.abs(F.col("fragment_mz") - F.col("target_mz")) <= width)  # a short list of ions, times three
+        pairs = peaks.withColumn("_c", cell("fragment_mz")).join(small(d), "_c").drop("_c").where(F.abs(F.col("fragment_mz") - F.col("target_mz")) <= width)
     else:
         pairs = ppm_pairs(peaks.withColumn("q_mz", F.col("fragment_mz")), diagnostics.withColumn("r_mz", F.col("target_mz")), tolerance)
     best = pairs.join(core, "scan_number").groupBy("scan_number", "label").agg(F.max("fragment_intensity").alias("intensity"), F.first("base_peak_intensity").alias("base"))

@@ -92,18 +92,23 @@ def otsu(df: DataFrame, value: str, breaks: list[float] | None = None, bins: int
     return hist.orderBy(F.desc(F.round("between", 9)), "k").limit(1).select(F.col("mid").alias("threshold"), "between")
 
 
-def background_mask(long: DataFrame, method: str = "tic_percentile", percentile: float = 0.1, median_percent: float = 20, min_nonzero: int = 1, excluded: list[str] | None = None, trim: float = 0.1, otsu_breaks: list[float] | None = None) -> DataFrame:
-    """(pixel_id, tic, n_nonzero, keep): tissue pixels by a threshold on a (robust) total."""
+def background_mask(long: DataFrame, method: str = "tic_percentile", percentile: float = 0.1, median_percent: float = 20, min_nonzero: int = 1, excluded: list[str] | None = None, trim: float = 0.1, otsu_breaks: list[float] | None = None, by=()) -> DataFrame:
+    """(by, pixel_id, tic, n_nonzero, keep): tissue pixels by a threshold on a (robust) total; quantile thresholds
+    may be each group's own."""
     source = {"gap_otsu_log_tic": "exclude_features", "trimmed_otsu_log_tic": "trimmed", "median_otsu_log_tic": "median"}.get(method, "raw")
     rows = foreground_tic(long, source, excluded, trim)
+    if by:
+        if method not in ("tic_percentile", "median_fraction"):
+            raise ValueError(f"{method!r} has one threshold for all groups")
+        rows = rows.join(long.select("pixel_id", *by).distinct(), "pixel_id")
     positive = F.when(F.col("tic") > 0, F.col("tic"))
     if method == "none":
         return rows.withColumn("keep", F.lit(True))
     if method == "tic_percentile":
-        cut = rows.agg(quantile(positive, percentile).alias("cut"))
+        cut = rows.groupBy(*by).agg(quantile(positive, percentile).alias("cut"))
         score: Column = F.col("tic")
     elif method == "median_fraction":
-        cut = rows.agg((F.median(positive) * median_percent / 100).alias("cut"))
+        cut = rows.groupBy(*by).agg((F.median(positive) * median_percent / 100).alias("cut"))
         score = F.col("tic")
     elif method.endswith("otsu_log_tic"):
         logged = rows.select(F.log10(F.col("tic") + 1).alias("s"))
@@ -112,7 +117,8 @@ def background_mask(long: DataFrame, method: str = "tic_percentile", percentile:
         cut, score = two_means(rows.select(F.log10(F.col("tic") + 1).alias("s")), "s"), F.log10(F.col("tic") + 1)
     else:
         raise ValueError(f"unknown method {method!r}")
-    return rows.crossJoin(F.broadcast(cut)).withColumn("keep", (score >= F.col("cut")) & (F.col("n_nonzero") >= min_nonzero)).drop("cut")  # one row
+    rows = rows.join(cut, list(by)) if by else rows.crossJoin(F.broadcast(cut))
+    return rows.withColumn("keep", (score >= F.col("cut")) & (F.col("n_nonzero") >= min_nonzero)).drop("cut")
 
 
 def two_means(df: DataFrame, value: str, iterations: int = 50) -> DataFrame:
@@ -183,7 +189,9 @@ def preprocess(long: DataFrame, background: str = "none", tic: bool = True, log:
     """Background filter, then median-rescaled TIC, log10(x + 1) and z-scores; per group where ``by`` is given
     (thresholds and rescaling are the group's own)."""
     if background != "none":
-        if by:
+        if by and background in ("tic_percentile", "median_fraction"):
+            long = long.join(background_mask(long, background, by=by, **options).where("keep").select("pixel_id"), "pixel_id", "left_semi")
+        elif by:  # a threshold search for each of the sections
             parts = [long.where(F.col(by[0]) == r[0]) for r in long.select(by[0]).distinct().collect()]
             kept = [p.join(background_mask(p, background, **options).where("keep").select("pixel_id"), "pixel_id", "left_semi") for p in parts]
             long = kept[0]

@@ -21,7 +21,7 @@ def sample_subregions(long: DataFrame, grid_size: int = 5, min_pixels: int = 30,
     pixels = long.select("pixel_id", "x", "y", (F.col(roi) if roi else F.lit("all")).alias("roi")).distinct()
     keys = ["roi"] if scope == "roi" else []
     bounds = pixels.groupBy(*keys).agg(*(f(c).alias(f"{c}_{n}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))))
-    at = pixels.join(F.broadcast(bounds), keys) if keys else pixels.crossJoin(F.broadcast(bounds))  # a row per region
+    at = pixels.join(bounds, keys) if keys else pixels.crossJoin(F.broadcast(bounds))  # one row without keys
     at = at.select("pixel_id", "roi", "x", "y", equal_width_bin(F.col("x"), F.col("x_lo"), F.col("x_hi"), grid_size).alias("gx"), equal_width_bin(F.col("y"), F.col("y_lo"), F.col("y_hi"), grid_size).alias("gy"))
     tile = at.groupBy("roi", "gx", "gy").agg(F.count("*").alias("n_pixels"), F.avg("x").alias("x_center"), F.avg("y").alias("y_center"), (F.max("x") - F.min("x")).alias("x_span"), (F.max("y") - F.min("y")).alias("y_span")).where(F.col("n_pixels") >= min_pixels)
     means = long.select("pixel_id", "feature", "value").join(at.select("pixel_id", "roi", "gx", "gy"), "pixel_id").groupBy("roi", "gx", "gy", "feature").agg(F.avg("value").alias("value"))

@@ -90,6 +90,35 @@ def _(spark, sf):
     return clustering.define_niches(rows, [f"d{i}" for i in range(10)], 4)
 
 
+@query("cluster_diagnostics_spatial")
+def _(spark, sf):
+    return clustering.cluster_diagnostics_spatial(p2(spark, sf), graph.lattice_edges(p2_pixels(spark, sf), "queen"))
+
+
+@query("cluster_diagnostics_hmrf")
+def _(spark, sf):
+    return clustering.cluster_diagnostics_hmrf(p2(spark, sf), graph.lattice_edges(p2_pixels(spark, sf), "queen"))
+
+
+def _niches(spark, sf):
+    px = p2_pixels(spark, sf).withColumns({"subject": (F.col("pixel_id") % 2).cast("string"), "section": F.concat(F.lit("s"), F.floor(F.col("y") / 10).cast("string"))})
+    return clustering.detect_spatial_niches(px.where("pixel_id % 5 <> 0"), 3, subject="subject", section="section", radius=2.0, min_neighbors=5)
+
+
+@query("spatial_niches")
+def _(spark, sf):
+    return _niches(spark, sf)[0].select("pixel_id", "field_id", "n_neighbors", "eligible", "exclusion_reason", "niche_label", "ambiguity_ratio")
+
+
+_FIELDS = """f AS (SELECT pixel_id, x, y, CAST(pixel_id % 2 AS VARCHAR) || chr(13) || 's' || CAST(y // 10 AS VARCHAR) AS field_id FROM p2p WHERE pixel_id % 5 <> 0),
+e AS (SELECT a.field_id, a.pixel_id, count(*) >= 5 AS eligible FROM f a JOIN f b ON a.field_id = b.field_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4 GROUP BY 1, 2)"""
+
+
+@query("niche_exclusions", f"WITH {P2}, {_FIELDS} SELECT field_id, count(*) AS n_pixels, count(*) FILTER (eligible) AS n_eligible, count(*) FILTER (NOT eligible) AS n_excluded, round(count(*) FILTER (NOT eligible) / count(*), 6) AS excluded_fraction FROM e GROUP BY 1")
+def _(spark, sf):
+    return _niches(spark, sf)[1]
+
+
 SIGNATURE = {"A": {"mz_101": 5.0, "mz_102": 1.0, "mz_103": 1.0, "mz_104": 2.0}, "B": {"mz_101": 1.0, "mz_102": 6.0, "mz_103": 2.0, "mz_104": 1.0}}
 
 

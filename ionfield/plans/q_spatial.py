@@ -110,10 +110,13 @@ def _(spark, sf):
     return preprocess.background_mask(p1(spark, sf), "log_tic_kmeans")
 
 
-@query("preprocess_sections")
+@query("preprocess_sections", f"""WITH {P1}, t AS (SELECT section_id, pixel_id, sum(value) AS tic FROM p1 GROUP BY 1, 2), c AS (SELECT section_id, quantile_cont(tic, 0.1) AS cut FROM t WHERE tic > 0 GROUP BY 1),
+k AS (SELECT t.* FROM t JOIN c USING (section_id) WHERE tic >= cut AND tic > 0), md AS (SELECT section_id, median(tic) AS scale FROM k GROUP BY 1),
+l AS (SELECT k.section_id, feature, log10(value / tic * scale + 1) AS v FROM p1 JOIN k USING (pixel_id) JOIN md ON md.section_id = k.section_id), s AS (SELECT section_id, feature, avg(v) AS m, stddev_samp(v) AS s FROM l GROUP BY 1, 2)
+SELECT section_id, feature, count(*) AS n, round(avg(coalesce((v - m) / nullif(s, 0), 0)), 6) + 0.0 AS mean, round(max(coalesce((v - m) / nullif(s, 0), 0)), 6) AS top FROM l JOIN s USING (section_id, feature) GROUP BY 1, 2""")
 def _(spark, sf):
     out = preprocess.preprocess(p1(spark, sf), "tic_percentile", scale=True, by=("section_id",))
-    return out.groupBy("section_id", "feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return out.groupBy("section_id", "feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("top"))
 
 
 GAP = """

@@ -13,6 +13,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -40,6 +41,16 @@ def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table of unknown size is broadcast.
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows (counted no further than that)."""
+    most = SMALL_ROWS if rows is None else rows
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so workers can import it."""
     app = spark.sparkContext.applicationId
