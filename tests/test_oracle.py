@@ -19,7 +19,7 @@ def test_query_matches_sql(spark, con, name):
     assert spark_rows(QUERIES[name](spark, SF)) == duck_rows(con, ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"spatial_kmeans", "cluster_diagnostics", "pca_kmeans"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_without_sql_gives_rows(spark, name):
     df = QUERIES[name](spark, SF)
     assert len(df.columns) and df.limit(3).count() > 0
