@@ -36,3 +36,69 @@ def test_no_stage_fails_on_an_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, SF), name)
         assert docs.count() == 0
+
+
+def test_stages_against_brute_force(spark):
+    """Every stage's decisions on the whole table, from the definitions."""
+    import numpy as np
+    import public_tokenizers
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    from ionfield.llm import langid
+    from tests.llm.test_decontaminate import best_edits
+    from tests.llm.test_secrets import base_spans
+    from tests.llm.test_simhash import slow_components, slow_fingerprint
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    made = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = made[name] = materialize(stage(spark, docs, SF), name)
+    ids = lambda name: sorted(r["doc_id"] for r in made[name].select("doc_id").collect())
+
+    model = langid.train(spark.read.parquet(f"{SF}/documents.parquet"), langid.crc_residue(F.col("doc_id"), 4) != 2)
+    kept = []
+    for i, text in rows.items():
+        raw = (text or "").encode()
+        share = np.zeros(len(model.labels))
+        for at in range(0, len(raw), langid.WINDOW):
+            w = raw[at : at + langid.WINDOW]
+            x = np.frombuffer(w + bytes(langid.WINDOW - len(w)), np.uint8)[:, None]
+            share += model.position_probabilities(x)[: len(w), :, 0].sum(0)
+        if any(c.isalpha() for c in text or "") and share[-1] < 0.5 * len(raw):
+            kept.append(i)
+    assert ids("language_id") == sorted(kept)
+
+    roots = slow_components([slow_fingerprint(rows[i]) for i in kept])
+    least = {}
+    for i, r in zip(kept, roots, strict=True):
+        least[r] = min(least.get(r, i), i)
+    kept = sorted(least.values())
+    assert ids("near_dedup") == kept and len(kept) < len(rows)
+
+    items = [decontaminate.normalise(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    leaks = lambda t: any(best_edits(m, t) <= int(decontaminate.RATE * len(m)) for m in items if m)
+    gone = set(kept) - set(ids("decontamination"))
+    some = sorted(gone)[:10] + [i for i in kept if i not in gone][:10]
+    assert gone and all(leaks(decontaminate.normalise(rows[i])) == (i in gone) for i in some)
+
+    assert ids("secret_scan") == sorted(set(kept) - gone)
+    for r in made["secret_scan"].collect():
+        text, out, end = rows[r["doc_id"]], "", 0
+        for _, a, b in base_spans(text):
+            if a >= end:
+                out, end = out + text[end:a] + "[SECRET]", b
+            else:
+                end = max(end, b)
+        assert r["text"] == out + text[end:]
+
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    pieces = {}
+    for p in made["packing"].orderBy("doc_id", "start").collect():
+        pieces.setdefault(p["doc_id"], []).append(p)
+    for r in made["secret_scan"].collect():
+        n = len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1
+        mine = pieces[r["doc_id"]]
+        assert sum(p["length"] for p in mine) == n == mine[0]["doc_tokens"]
+        assert [p["start"] for p in mine] == [sum(q["length"] for q in mine[:k]) for k in range(len(mine))]
