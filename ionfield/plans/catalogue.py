@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_clustering, q_differential, q_labels, q_matching, q_niches, q_regions, q_spatial
+from . import q_clustering, q_differential, q_labels, q_matching, q_niches, q_regions, q_reports, q_spatial
 
-_FAMILIES = (q_spatial, q_niches, q_regions, q_differential, q_matching, q_clustering, q_labels)
+_FAMILIES = (q_spatial, q_niches, q_regions, q_differential, q_matching, q_clustering, q_labels, q_reports)
 
 # Columns that DuckDB types as decimals (from literals) or longs where the engine has doubles or ints.
 _TYPES = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clustering, graph, niches
+from ..operators import clustering, graph, niches, reports
 from .bindings import P1, P2, ROOK2, p1, p1_pixels, p2, p2_pixels, rounded, table
 
 Q: dict = {}
@@ -174,19 +174,15 @@ def _(spark, sf):
     return p1(spark, sf).groupBy("feature").agg(F.avg("value").alias("score")).orderBy(F.desc("score"), "feature").limit(20)
 
 
-@query("between_domain_variance", f"WITH {P2}, m AS (SELECT feature, domain, avg(value) AS m FROM p2 GROUP BY 1, 2) SELECT feature, round(var_samp(m), 9) AS variance FROM m GROUP BY 1 ORDER BY var_samp(m) DESC LIMIT 25", 9)
+@query("between_domain_variance", f"WITH {P2}, m AS (SELECT feature, domain, avg(value) AS m FROM p2 GROUP BY 1, 2) SELECT feature, round(var_samp(m), 9) AS variance FROM m GROUP BY 1 ORDER BY var_samp(m) DESC, feature LIMIT 25", 9)
 def _(spark, sf):
-    m = p2(spark, sf).groupBy("feature", "domain").agg(F.avg("value").alias("m"))
-    return m.groupBy("feature").agg(F.var_samp("m").alias("variance")).orderBy(F.desc("variance")).limit(25)
+    return reports.between_group_variance(p2(spark, sf))
 
 
 @query("two_domain_comparison", f"""WITH {P2}, s AS (SELECT feature, avg(value) FILTER (domain = 'd1') AS a, avg(value) FILTER (domain = 'd2') AS b, stddev_samp(value) FILTER (domain = 'd1') AS sa, stddev_samp(value) FILTER (domain = 'd2') AS sb FROM p2 WHERE domain IN ('d1','d2') GROUP BY 1)
 SELECT feature, round(a, 6) AS mean_a, round(b, 6) AS mean_b, round(coalesce((a - b) / nullif(sqrt((sa * sa + sb * sb) / 2), 0), 0), 6) + 0.0 AS standardized FROM s""")
 def _(spark, sf):
-    v, is_a, is_b = F.col("value"), F.col("domain") == "d1", F.col("domain") == "d2"
-    s = p2(spark, sf).where("domain in ('d1','d2')").groupBy("feature").agg(F.avg(F.when(is_a, v)).alias("mean_a"), F.avg(F.when(is_b, v)).alias("mean_b"), F.stddev_samp(F.when(is_a, v)).alias("sa"), F.stddev_samp(F.when(is_b, v)).alias("sb"))
-    pooled = F.sqrt((F.col("sa") * F.col("sa") + F.col("sb") * F.col("sb")) / 2)
-    return s.select("feature", "mean_a", "mean_b", F.coalesce((F.col("mean_a") - F.col("mean_b")) / F.nullif(pooled, F.lit(0.0)), F.lit(0.0)).alias("standardized"))
+    return reports.compare_groups(p2(spark, sf), "d1", "d2")
 
 
 @query("domain_contacts", f"""WITH {P2}, e AS (SELECT least(a.domain, b.domain) AS u, greatest(a.domain, b.domain) AS v FROM p2p a JOIN p2p b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.pixel_id < b.pixel_id WHERE a.domain IN ('d1','d2') OR b.domain IN ('d1','d2'))
