@@ -8,8 +8,9 @@ broadcast; prediction is one pass over the texts.
 
 Beside the languages the network has one further label, no language: it learns that from windows made by rule
 (``foreign_windows``: random letters, codes, symbols, and letters of scripts that the learned texts don't use).
-A document is identified if its positions' pooled probability of no language is below one half; this doesn't
-depend on the number of languages, and a text in two of them stays.
+Numbers, addresses and keys are put into a third of the languages' windows, so that what stands beside them keeps
+its language.  A document is identified if the pooled probability of no language over its letters is below one half;
+this doesn't depend on the number of languages, and a text in two of them stays.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter (Unicode category L), or if nothing
 could be learned; else the likeliest of the learned values and its pooled probability.  Null ids and null languages are allowed, repeated
@@ -35,6 +36,7 @@ HIDDEN = 8
 GROUP = 2048
 UNKNOWN = "und"
 
+_LETTER_BYTE = np.array([b >= 128 or chr(b).isalpha() for b in range(256)], dtype=np.float32)
 _LETTER = regex.compile(r"\p{L}")
 # First letters of scripts, and how many follow: fixed values of Unicode.
 SCRIPTS = ((0x0391, 56), (0x0410, 64), (0x0561, 38), (0x05D0, 27), (0x0627, 36), (0x0905, 53), (0x0985, 45), (0x0E01, 46), (0x10D0, 33), (0x3041, 86), (0x30A1, 90), (0x4E00, 20000), (0xAC00, 11000))
@@ -118,15 +120,15 @@ class ByteGRU:
             grad["x"][d][:, seen] = np.add.reduceat(flat[order], first, axis=0).T
         return loss, grad
 
-    def fit(self, windows: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int = 240, batch: int = 192, rate: float = 0.02, seed: int = 5):
-        """Adam with a decaying rate on class-balanced batches; windows is (n, WINDOW) bytes."""
+    def fit(self, windows: np.ndarray, weights: np.ndarray, y: np.ndarray, steps: int = 240, batch: int = 192, rate: float = 0.02, seed: int = 5):
+        """Adam with a decaying rate on class-balanced batches; windows is (n, WINDOW) bytes, weights of each."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         members = [np.flatnonzero(y == c) for c in range(len(self.labels))]
         for step in range(1, steps + 1):
             pick = np.concatenate([rng.choice(m, -(-batch // len(members))) for m in members if len(m)])
-            mask = (np.arange(windows.shape[1])[:, None] < sizes[pick]).astype(np.float32)
+            mask = np.ascontiguousarray(weights[pick].T)
             _, grad = self.gradients(np.ascontiguousarray(windows[pick].T), y[pick], mask)
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             lr = rate * (1 - step / (steps + 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
@@ -184,8 +186,9 @@ class ByteGRU:
         logits /= logits.sum(axis=1, keepdims=True)
         return logits
 
-    def document_probabilities(self, texts: list[bytes]) -> np.ndarray:
-        """(texts, labels): positions' probabilities pooled over each whole text (zeros if empty)."""
+    def document_probabilities(self, texts: list[bytes], letters: bool = False) -> np.ndarray:
+        """(texts, labels): positions' probabilities pooled over each whole text (zeros if empty), or over the
+        positions of its letters (ASCII ones and all bytes of longer characters)."""
         pooled = np.zeros((len(texts), len(self.labels)))
         sizes = np.array([len(t) for t in texts])
         n_windows = -(-sizes // WINDOW)
@@ -200,10 +203,14 @@ class ByteGRU:
         for at in range(0, len(windows), GROUP):
             x = np.ascontiguousarray(windows[at : at + GROUP].T)
             prob = self.position_probabilities(x)
+            if letters:
+                prob *= _LETTER_BYTE[x][:, None, :]
             short = np.flatnonzero(fill[at : at + GROUP] < WINDOW)
             if len(short):
                 prob[:, :, short] *= (np.arange(WINDOW)[:, None] < fill[at + short])[:, None, :]
             np.add.at(pooled, owner[at : at + GROUP], prob.sum(axis=0).T)
+        if letters:
+            sizes = np.add.reduceat(_LETTER_BYTE[windows].sum(1), np.cumsum(n_windows) - n_windows) if (n_windows > 0).all() else np.array([int(_LETTER_BYTE[np.frombuffer(t, np.uint8)].sum()) for t in texts])
         return pooled / np.maximum(sizes, 1)[:, None]
 
 
@@ -236,6 +243,28 @@ def foreign_windows(n: int, texts: list[str], seed: int = 9) -> list[bytes]:
     return out
 
 
+def with_foreign_token(rng: random.Random, text: str) -> tuple[bytes, list[float]]:
+    """The text with a number, address or key put in at some place, and 1 for each byte that was there before."""
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    token = (
+        lambda: ".".join(digits(rng.randint(1, 3)) for _ in range(4)),
+        lambda: f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}",
+        lambda: digits(rng.randint(8, 20)),
+        lambda: "".join(rng.choices(alnum, k=rng.randint(10, 30))),
+        lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8))) + f".{digits(2)}@" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) + ".com",
+        lambda: f"x{digits(2)} = \"{''.join(rng.choices('0123456789abcdef', k=rng.randint(16, 40)))}\"",
+    )
+    spaces = [i for i, c in enumerate(text) if c == " "] or [0]
+    at = rng.choice(spaces)
+    raw, weight = b"", []
+    for part, w in ((text[:at], 1.0), (" " + " ".join(rng.choice(token)() for _ in range(rng.randint(1, 3))) + " ", 0.0), (text[at:], 1.0)):
+        raw += part.encode()
+        weight += [w] * (len(raw) - len(weight))
+    first = rng.randint(0, max(0, len(raw) - WINDOW))
+    return raw[first : first + WINDOW], weight[first : first + WINDOW]
+
+
 def train(docs: DataFrame, may_learn: Column, docs_per_language: int = 1500, windows_per_doc: int = 3, seed: int = 3) -> ByteGRU | None:
     """A network for the languages of the rows where ``may_learn`` holds and lang isn't null."""
     rows = docs.select("doc_id", "text", "lang", may_learn.alias("ok")).where("ok and lang is not null and text is not null")
@@ -252,36 +281,41 @@ def train(docs: DataFrame, may_learn: Column, docs_per_language: int = 1500, win
     cuts = [F.substring("text", 1 + F.pmod(F.xxhash64("doc_id", F.lit(w)), span).cast("int"), F.lit(WINDOW)) for w in range(windows_per_doc)]
     sample = rows.where(unit < share).select("lang", F.array(*cuts).alias("cuts"), unit.alias("unit"), "doc_id").orderBy("unit", "doc_id").limit(2 * docs_per_language * len(labels)).collect()
     at = {label: i for i, label in enumerate(labels)}
-    windows, sizes, y, cut_texts = [], [], [], []
+    windows, weights, y, cut_texts = [], [], [], []
     taken = dict.fromkeys(labels, 0)
+    rng = random.Random(seed)
+
+    def add(raw: bytes, weight: list[float], label: int):
+        windows.append(raw + bytes(WINDOW - len(raw)))
+        weights.append(weight + [0.0] * (WINDOW - len(raw)))
+        y.append(label)
+
     for r in sample:
         if taken[r["lang"]] >= docs_per_language:
             continue
         taken[r["lang"]] += 1
-        for cut in r["cuts"]:
+        for n, cut in enumerate(r["cuts"]):
             raw = (cut or "").encode()[:WINDOW]
             if raw:
-                windows.append(raw + bytes(WINDOW - len(raw)))
-                sizes.append(len(raw))
-                y.append(at[r["lang"]])
+                # One of a document's windows has something foreign put in, on which nothing is learned.
+                add(*(with_foreign_token(rng, cut) if n == 0 else (raw, [1.0] * len(raw))), at[r["lang"]])
                 cut_texts.append(cut)
     if not windows:
         return None
     for raw in foreign_windows(max(400, len(windows) // len(labels)), cut_texts):
-        windows.append(raw + bytes(WINDOW - len(raw)))
-        sizes.append(len(raw))
-        y.append(len(labels))
+        add(raw, [1.0] * len(raw), len(labels))
     data = np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WINDOW)
-    return ByteGRU([*labels, UNKNOWN], seed=seed).fit(data, np.array(sizes), np.array(y))
+    return ByteGRU([*labels, UNKNOWN], seed=seed).fit(data, np.array(weights, dtype=np.float32), np.array(y))
 
 
-def _predict_texts(model: ByteGRU | None, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-    """Likeliest language, its pooled probability, and the pooled probability of no language, per text."""
+def _predict_texts(model: ByteGRU | None, texts: list[str | None], letters: bool = False) -> tuple[list[str], list[float], list[float]]:
+    """Likeliest language, its pooled probability, and the pooled probability of no language, per text; pooled over
+    all positions or those of letters."""
     has = [model is not None and t is not None and _LETTER.search(t) is not None for t in texts]
     names, scores, none = [UNKNOWN] * len(texts), [0.0] * len(texts), [1.0] * len(texts)
     index = [i for i, ok in enumerate(has) if ok]
     if index:
-        prob = model.document_probabilities([texts[i].encode() for i in index])
+        prob = model.document_probabilities([texts[i].encode() for i in index], letters)
         for i, p in zip(index, prob, strict=True):
             best = int(p[:-1].argmax())
             names[i], scores[i], none[i] = model.labels[best], min(1.0, float(p[best])), float(p[-1])
@@ -322,14 +356,14 @@ def _keep(shared, at: int, most: float, languages):
     def run(batches):
         for batch in batches:
             for part in _parts(batch, at):
-                names, _, none = _predict_texts(shared.value, part.column(at).to_pylist())
+                names, _, none = _predict_texts(shared.value, part.column(at).to_pylist(), True)
                 yield part.filter(pa.array([n != UNKNOWN and p < most and (languages is None or n in languages) for n, p in zip(names, none, strict=True)], pa.bool_()))
 
     return run
 
 
 def keep_identified(docs: DataFrame, model: ByteGRU | None, languages: list[str] | None = None, most_none: float = 0.5) -> DataFrame:
-    """Rows, with all their columns, whose text is mostly in a language: pooled probability of none below
-    ``most_none``; if ``languages`` are given, the likeliest must be one of them."""
+    """Rows, with all their columns, whose letters are mostly in a language: pooled probability of none below
+    ``most_none`` over the positions of letters, so that numbers and symbols don't count; if ``languages`` are given, the likeliest must be one of them."""
     ship_package(docs.sparkSession)
     return docs.mapInArrow(_keep(Shared(docs.sparkSession, model), docs.columns.index("text"), most_none, languages), docs.schema)

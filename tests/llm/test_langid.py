@@ -63,6 +63,21 @@ def test_pooling_covers_whole_texts():
         assert got == pytest.approx(total / len(raw), abs=1e-5)
 
 
+def test_pooling_over_letters():
+    net = langid.ByteGRU(["a", "b"], hidden=4)
+    texts = [b"abc 12", "é 9é".encode() * 40, b"12 34", b"", b"x" * 64]
+    out = net.document_probabilities(texts, True)
+    assert out[2].tolist() == [0, 0] and out[3].tolist() == [0, 0]
+    for raw, got in zip(texts, out, strict=True):
+        total, n = np.zeros(2), 0
+        for w in (raw[i : i + 64] for i in range(0, len(raw), 64)):
+            x = np.frombuffer(w + bytes(64 - len(w)), np.uint8)[:, None]
+            letter = np.array([b >= 128 or chr(b).isalpha() for b in w])
+            total += net.position_probabilities(x)[: len(w), :, 0][letter].sum(0)
+            n += letter.sum()
+        assert got == pytest.approx(total / max(n, 1), abs=1e-5)
+
+
 def test_held_out_accuracy_and_odd_rows(spark, corpus, odd_docs):
     rows = [(i, t, lang if i % 10 else None, "s", 1, 1, 2, "b", "h", "x", "y", 5, 6) for i, t, lang in corpus]
     docs = spark.createDataFrame(rows, EXTRA)
@@ -113,6 +128,9 @@ def test_stage_drops_what_is_in_no_learned_language(spark, corpus):
     kept = {r["doc_id"] for r in langid.keep_identified(docs, model).collect()}
     assert not [i for i in kept if 1000 <= i < 2000]
     assert len([i for i in kept if i >= 2000]) == len(mixed) and len([i for i in kept if i < 1000]) >= 0.99 * len(corpus)
+    beside = [f"{t[:60]} +1 (634) 555-5003 4162727784048781 74.129.143.235" for t in by_lang["aa"][:10]]
+    short = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(beside)], docs.schema)
+    assert langid.keep_identified(short, model).count() == 10
     wanted = {r["doc_id"] for r in langid.keep_identified(docs, model, ["aa"]).collect()}
     names = {i: lang for i, _, lang in corpus}
     assert {names[i] for i in wanted if i < 1000} == {"aa"}
