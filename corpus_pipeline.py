@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, near-dedup, decontamination, secret redaction, packing.
 
 Each stage reads what its predecessor wrote.  Language ID drops documents that are mostly in none of the learned
-languages (no letters, or half or more of the positions' probability); near-dedup keeps the smallest doc_id of each
+languages (no letters, or half or more of the letters' probability); near-dedup keeps the smallest doc_id of each
 group; decontamination drops documents that hold a benchmark item; secret scans replace every found span; packing
 cuts all that is left into sequences and returns their pieces.
 """
