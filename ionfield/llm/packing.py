@@ -5,8 +5,8 @@
    kept, with its ids, in a table in the shared folder.
 2. The histogram of tail lengths has fewer than ``window`` bins whatever the input's size.  On the driver
    every pair and triple of present lengths that fills a window exactly is a column; non-negative least
-   squares finds how often each is repeated, the counts are rounded within what is there, and what is
-   left is packed greedily: tails of one length after another, cut where a window ends.
+   squares finds how often each is repeated, the counts of the ``keep`` most repeated columns are rounded within
+   what is there (a bound on the plan, not on documents), and what is left is packed greedily: tails of one length after another, cut where a window ends.
 3. The plan (ranges of ranks for each length) is broadcast; a tail's rank within its length follows from
    its task's counts, so neither a window over the rows nor a shuffle of tokens is needed.
 

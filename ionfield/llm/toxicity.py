@@ -2,9 +2,9 @@
 
 Features of a whole text: densities of a learned lexicon (plain and after undoing look-alike characters),
 proximity of its words to second-person words, capitals, shouting, punctuation, digits, obfuscation and
-stretching rates, and size.  The lexicon is learned from the training sample only: words whose support among
-toxic documents (copies that begin or end alike count once) is beyond chance.  Trees minimise the logistic loss on histogram bins; out-of-fold scores
-are calibrated by pool-adjacent-violators.  The sample is bounded: about ``docs_per_class`` toxic and twice
+stretching rates, and size.  The lexicon is learned from the training sample only: at most ``MAX_LEXICON`` words
+whose support among toxic documents (copies that begin or end alike count once) is beyond chance.  Trees minimise
+the logistic loss on histogram bins; out-of-fold scores are calibrated by pool-adjacent-violators.  The sample is bounded: about ``docs_per_class`` toxic and twice
 as many other documents, of at most ``MAX_SAMPLE_CHARS`` characters (documented bounds of the classifier's training only).
 
 Defined results: null or empty texts are scored like any other (their features are zero); null ids and
