@@ -8,20 +8,21 @@ randomness: chi-squared over the alphabet, runs above and below the alphabet's m
 neighbours.  Their p-values combine to Fisher's statistic; a small one means random.
 
 Which statistics are small enough depends on the alphabet and the length: short strings of ordinary text pass such
-tests too.  So the same statistic is taken of ordinary text, for each alphabet and length class.  All texts, without
-their encoded-looking runs, are cut into windows of ``WINDOW`` characters; a window's hash chooses alphabet and
-class, and its text is written in that alphabet (case folded, other characters left out) and cut to the class's
-length.  A fixed page of prose adds windows for every alphabet and class, so the rule is the same for a table of one
-document.  A candidate's p-value is the larger of two: the share of null strings with a statistic as small, and the
+tests too.  So the same statistic is taken of ordinary text, for each alphabet and length class that has a candidate
+(no result depends on the others).  Every whole text, without its encoded-looking runs, is written in that alphabet
+(case folded, other characters left out), and all its consecutive strings of the class's length are null strings;
+what is left at the end is shorter than that.  A fixed page of prose adds windows for every alphabet and class, so the
+rule is the same for a table of one document.  A candidate's p-value is the larger of two: the share of null strings with a statistic as small, and the
 lower tail of a normal distribution with the mean and variance of the null strings' cube roots (a sum of chi-squared
 terms has a nearly normal cube root), which reaches below one in the number of null strings.  The
 Benjamini-Hochberg step over the candidates of all alphabets and classes controls the false discoveries at
 ``ALPHA``; so whether a run is flagged depends on the table's other candidates, as the procedure has it.
 Statistics are binned (bins of 1/4, rounded up), so the histograms have a bounded number of rows, and only one
-threshold per alphabet and class reaches the driver; a second pass over the texts applies them.
+threshold per alphabet and class reaches the driver.  The texts are read three times: for the candidates, for the
+null strings of their alphabets and classes, and to apply the thresholds.
 
 Defined results: null text counts as empty (no spans, the digest of the empty string); null ids and repeated
-rows are kept, and their windows and candidates count each time; an empty table gives an empty result; other
+rows are kept, and their null strings and candidates count each time; an empty table gives an empty result; other
 columns are ignored, or kept by ``redact``.
 """
 
@@ -30,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 KINDS = ("assign", "access", "hex", "random")
 # Patterns of the base kinds: fixed values (pattern, group whose length counts, least length).
 PATTERNS = (
@@ -57,7 +60,7 @@ FOLDS = (("lower", "[^0-9a-f]"), ("upper", "[^0-9A-F]"), ("lower", "[^a-z]"), ("
 SPARSE = ("[^0-9a-f]", "[^0-9A-F]")
 #: Length classes: least length, and the length of the class's null strings.
 CLASSES = ((16, 17), (20, 21), (24, 27), (32, 38), (48, 60), (80, 100))
-#: Characters of a null window: enough for 100 in any alphabet, as a rule.
+#: Characters of a window of the prose: enough for 100 in any alphabet, as a rule.
 WINDOW = 640
 # Ordinary prose, numbers, names and paths: a fixed value.
 PROSE = (
@@ -167,31 +170,119 @@ def _written(windows: str) -> str:
     return f"filter(transform({windows}, i -> named_struct('v', substring({folded}, 1, {length}), 'a', i.a, 'n', {length})), i -> char_length(i.v) = i.n)"
 
 
-def _windows_of_texts() -> str:
-    """SQL: the windows in variable ``pieces`` (an array of texts), each with the alphabet and class that its hash
-    chooses."""
-    chosen = f"cast(pmod(xxhash64(t), {len(FOLDS) * len(CLASSES)}) as int)"
-    return f"transform(transform(pieces, t -> named_struct('t', t, 'h', {chosen})), p -> named_struct('t', p.t, 'a', 1 + cast(p.h div {len(CLASSES)} as int), 'c', cast(p.h % {len(CLASSES)} as int)))"
-
-
 def _windows_of_prose() -> str:
     """SQL: windows of variable ``pieces`` (one text) at every 16th character, for every alphabet and class."""
     return f"flatten(transform(sequence(0, char_length(pieces) - {WINDOW}, 16), s -> flatten(transform(sequence(1, {len(FOLDS)}), a -> transform(sequence(0, {len(CLASSES) - 1}), c -> named_struct('t', substring(pieces, 1 + s, {WINDOW}), 'a', a, 'c', c))))))"
 
 
+#: Eight bytes of 1, and a code's planes: its six bits, and whether it is in the alphabet's upper half.
+_ONES = 0x0101010101010101
+_PLANES = (*range(6), "u")
+
+
+def _cell(a: int, c: int) -> Column:
+    """What the null strings of alphabet ``a`` and class ``c`` have in common.
+
+    A byte's code is itself less ``base``, less ``alpha`` for letters, less ``small`` for small ones.  Character 8 j + i
+    of a string is bit 8 (7 - i) + j of a plane's first word, beyond 64 characters of its second; ``all`` marks the
+    string's characters there, ``last`` its last one.
+    """
+    symbols, n = ALPHABETS[a][1], CLASSES[c][1]
+    base = ord("2") - 26 if symbols.startswith("A") and symbols.endswith("7") else ord("0")
+    alpha = next(ord(s) - symbols.index(s) for s in symbols if s.isalpha()) - base
+    small = ord("a") - symbols.index("a") - base - alpha if "a" in symbols else 0
+    bits = [(t // 64, 1 << (8 * (7 - t % 8) + t // 8 % 8)) for t in range(n)]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    masks = {f"all{w}": signed(sum(b for word, b in bits if word == w)) for w in (0, 1)} | {f"last{w}": signed(bits[-1][1] if bits[-1][0] == w else 0) for w in (0, 1)}
+    longs = {"base": base * _ONES, "alpha": alpha, "small": small, "upper": (64 - len(symbols) // 2) * _ONES} | masks
+    ints = {"a": a, "cls": c, "words": -(-n // 8)}
+    doubles = {"n": n, "k": len(symbols)}
+    typed = [F.lit(v).cast(t).alias(name) for t, values in (("int", ints), ("long", longs), ("double", doubles)) for name, v in values.items()]
+    return F.struct(*typed, F.lit(symbols[0]).alias("pad"))
+
+
+def _null_strings(docs: DataFrame, cells: list[tuple[int, int]]) -> DataFrame:
+    """(i, w): all null strings of the texts for the alphabet and class that are number i, from 0, of ``cells``."""
+    cased = {"lower": F.lower("body"), "upper": F.upper("body"), "initcap": F.initcap("body")}
+
+    def folded(a: int) -> Column:
+        case, out = FOLDS[a - 1]
+        if "/" not in out:
+            return F.regexp_replace(cased[case], out, "")
+        # Both signs get the bytes behind z, where their codes are.
+        return F.translate(F.regexp_replace(F.replace(cased[case], F.lit(" "), F.lit("/")), out, ""), "+/", "{|")
+
+    def classes(a: int) -> Column:
+        return F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f".{{{CLASSES[c][1]}}}").alias("pattern")) for i, (b, c) in enumerate(cells) if b == a))
+
+    # One alphabet, class and array of strings at a time; explode_outer, before which the optimizer puts no filter on
+    # the whole expression.
+    rows = docs.select(F.regexp_replace(F.coalesce("text", F.lit("")), CANDIDATE, " ").alias("body"))
+    rows = rows.select(F.explode_outer(F.array(*(F.struct(folded(a).alias("v"), classes(a).alias("cs")) for a in sorted({a for a, _ in cells})))).alias("f"))
+    rows = rows.select("f.v", F.explode_outer("f.cs").alias("c")).select("v", "c.i", "c.pattern")
+    return rows.select("i", F.explode_outer(F.regexp_extract_all("v", F.col("pattern"), F.lit(0))).alias("w")).where("w is not null")
+
+
+def _null_statistics(strings: DataFrame, cells: list[tuple[int, int]]) -> DataFrame:
+    """(a, cls, bin) of null strings (i, w) of ``cells``: the result of ``_statistics`` from bit planes, as all texts are many strings."""
+    words = -(-max(n for _, n in CLASSES) // 8)
+    least = -(-min(n for _, n in CLASSES) // 8)
+    have = lambda j, e: e if j < least else f"if(words > {j}, {e}, 0L)"
+    total = lambda terms: "(" + " + ".join(terms) + ")"
+    # A lambda keeps a projection out of whole-stage code, whose single method would be too long to be compiled; the
+    # projection's own code is split, and what its expressions share is evaluated once.
+    apart = "aggregate(array(a), 0, (s, x) -> x) as a"
+    constants = ("cls", "n", "k", "all0", "all1", "last0", "last1")
+
+    byte = lambda j: have(j, f"coalesce(cast(conv(substring(h, {16 * j + 1}, 16), 16, 10) as long), 0L)")
+    letters = lambda j: f"alpha * (shiftright({byte(j)}, 6) & {_ONES}L) + small * (shiftright({byte(j)}, 6) & shiftright({byte(j)}, 5) & {_ONES}L)"
+    code = [f"({byte(j)} - {have(j, 'base')} - ({letters(j)}))" for j in range(words)]
+    bit = lambda p, j: f"shiftright({code[j]} + upper, 6)" if p == "u" else f"shiftright({code[j]}, {p})"
+    plane = lambda p, w: " | ".join(f"shiftleft({bit(p, j)} & {_ONES}L, {j % 8})" for j in range(8 * w, min(8 * w + 8, words)))
+    strings = strings.select(F.get(F.array(*(_cell(a, c) for a, c in cells)), F.col("i")).alias("c"), "w")
+    rows = strings.select("c.*", F.expr("hex(rpad(w, 8 * c.words, c.pad))").alias("h"))
+    rows = rows.selectExpr(apart, *constants, *(f"{plane(p, w)} as p{p}_{w}" for p in _PLANES for w in (0, 1)))
+
+    # ``w`` is the number of the plane's word; ``after`` is a plane one character on.
+    count = lambda e: f"cast(bit_count({e(0)}) + bit_count({e(1)}) as double)"
+    after = lambda p, w: f"(shiftleft(p{p}_{w}, 8) | shiftrightunsigned(p{p}_{w}, 57)" + ("" if w else f" | shiftleft(shiftrightunsigned(p{p}_1, 56) & 1L, 7)") + ")"
+    eighth = lambda v, low, w: "(" + " & ".join(f"{'' if v >> b & 1 else '~'}p{low + b}_{w}" for b in range(3)) + (f" & all{w})" if low else ")")
+    symbol = [count(lambda w: f"{eighth(v >> 3, 3, w)} & {eighth(v & 7, 0, w)}") for v in range(64)]  # noqa: B023
+    rows = rows.selectExpr(
+        apart, "cls", "n", "k",
+        total([f"{c} * {c}" for c in symbol]) + " as sq",
+        total([f"{1 << b} * " + count(lambda w: f"p{b}_{w}") for b in range(6)]) + " as sx",  # noqa: B023
+        total([f"{1 << b} * cast(shiftrightunsigned(p{b}_0, 56) & 1L as double)" for b in range(6)]) + " as first",
+        total([f"{1 << b} * " + count(lambda w: f"p{b}_{w} & last{w}") for b in range(6)]) + " as final",  # noqa: B023
+        total([f"{(1 << b + c) * (1 if b == c else 2)} * " + count(lambda w: f"p{b}_{w} & p{c}_{w}") for b in range(6) for c in range(b, 6)]) + " as sxx",  # noqa: B023
+        total([f"{1 << b + c} * " + count(lambda w: f"p{b}_{w} & {after(c, w)}") for b in range(6) for c in range(6)]) + " as sxy",  # noqa: B023
+        count(lambda w: f"pu_{w}") + " as high",
+        count(lambda w: f"(pu_{w} ^ {after('u', w)}) & all{w} & ~last{w}") + " as changes",
+    )
+    rows = rows.selectExpr("a", "cls", "n", "k", "sq", "high * (n - high) as lh", "changes", "n * sxx - sx * sx as var", "n * sxy - sx * (2 * sx - first - final) + (n - 1) / n * sx * sx as cov")
+    rows = rows.selectExpr(
+        "a", "cls",
+        "(pow(greatest(sq * k / n - n, 0D) / (k - 1), 1D / 3) - (1 - 2D / (9 * (k - 1)))) / sqrt(2D / (9 * (k - 1))) as z1",
+        "if(lh < 1, 9D, abs(changes - 2 * lh / n) / sqrt(greatest(2 * lh * (2 * lh - n) / (n * n * (n - 1)), 1e-3D))) as z2",
+        "if(var <= 0, 9D, abs(cov / var + 1 / n) * sqrt(n)) as z3",
+    )
+    return rows.selectExpr("a", "cls", f"cast(ceil(-2 * {BINS_PER_UNIT} * (ln({_upper_tail('z1')}) + ln(least(2 * {_upper_tail('z2')}, 1D)) + ln(least(2 * {_upper_tail('z3')}, 1D)))) as int) as bin")
+
+
 def histogram(docs: DataFrame) -> DataFrame:
     """(a, cls, bin, n, n_null): candidates and null strings per alphabet, length class and binned statistic."""
-    rows = _with_candidates(docs.select("text"))
-    prose = docs.sparkSession.range(1)
-    tagged = lambda column, n: F.transform(column, lambda t: F.struct(t["a"].alias("a"), t["cls"].alias("cls"), t["bin"].alias("bin"), F.lit(n).alias("candidate")))
-    # A lambda's variable holds what is used often, as a column's expression would be evaluated at each use; for the
-    # same reason explode_outer, before which the optimizer puts no filter on the whole expression.
-    nulls = lambda pieces, windows: tagged(F.expr(f"flatten(transform(array({pieces}), pieces -> {_statistics(_written(windows))}))"), 0)
-    pieces = f"regexp_extract_all(regexp_replace(body, '{CANDIDATE}', ' '), '(?s).{{1,{WINDOW}}}', 0)"
-    of_texts = rows.select(F.explode_outer(F.concat(tagged(F.col("tested"), 1), nulls(pieces, _windows_of_texts()))).alias("t"))
-    of_prose = prose.select(F.explode_outer(nulls("'" + PROSE.replace("'", "\\'") + "'", _windows_of_prose())).alias("t"))
-    both = of_texts.unionByName(of_prose).select("t.*").where("cls >= 0")
-    return both.groupBy("a", "cls", "bin").agg(F.sum("candidate").alias("n"), F.sum(1 - F.col("candidate")).alias("n_null"))
+    tested = _with_candidates(docs.select("text")).select(F.explode_outer("tested").alias("t")).select("t.*").where("cls >= 0")
+    # Some hundred rows for each alphabet and class.
+    found = materialize(tested.groupBy("a", "cls", "bin").agg(F.count(F.lit(1)).alias("n")), "candidates")
+    cells = sorted((r["a"], r["cls"]) for r in found.select("a", "cls").distinct().collect())
+    # A lambda's variable holds the prose, as a column's expression would be evaluated at each use.
+    prose = "'" + PROSE.replace("'", "\\'") + "'"
+    of_prose = docs.sparkSession.range(1).select(F.explode_outer(F.expr(f"flatten(transform(array({prose}), pieces -> {_statistics(_written(_windows_of_prose()))}))")).alias("t"))
+    nulls = of_prose.select("t.a", "t.cls", "t.bin")
+    if cells:
+        nulls = nulls.unionByName(_null_statistics(_null_strings(docs, cells), cells))
+    both = found.unionByName(nulls.groupBy("a", "cls", "bin").agg(F.count(F.lit(1)).alias("n_null")), allowMissingColumns=True)
+    return both.groupBy("a", "cls", "bin").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_null"), F.lit(0)).alias("n_null"))
 
 
 def with_p_values(table: DataFrame) -> DataFrame:

@@ -107,6 +107,40 @@ def test_statistics_against_brute_force(spark):
         assert r["s"]["cls"] == sum(len(r["w"]) >= c[0] for c in secrets.CLASSES) - 1
 
 
+def test_null_statistics_against_those_of_candidates(spark):
+    """Bit planes and lists of characters give one result, in every alphabet and class."""
+    rng = random.Random(5)
+    cells = [(a, c) for a in range(1, 10) for c in range(len(secrets.CLASSES))]
+    rows = []
+    for i, (a, c) in enumerate(cells):
+        symbols, n = secrets.ALPHABETS[a][1], secrets.CLASSES[c][1]
+        words = ["".join(rng.choices(symbols[:m], k=n)) for m in (len(symbols), 8, 3, 2, 1) for _ in range(4)]
+        rows += [(i, a, w) for w in (*words, (symbols * 9)[-n:], symbols[-1] * n)]
+    df = spark.createDataFrame(rows, "i int, a int, v string")
+    slow = df.select(F.expr(secrets._statistics("array(named_struct('v', v, 'a', a))"))[0].alias("s")).select("s.a", "s.cls", "s.bin")
+    fast = secrets._null_statistics(df.select("i", F.translate("v", "+/", "{|").alias("w")), cells)
+    for x, y in zip(*(sorted(map(tuple, d.collect())) for d in (slow, fast)), strict=True):
+        assert x[:2] == y[:2] and abs(x[2] - y[2]) <= 1
+
+
+def test_null_strings_are_those_of_whole_texts(spark, corpus):
+    """Every consecutive string of every text counts, for each alphabet and class that has a candidate."""
+    rows = corpus[0][:120] + [(1000, None), (1001, ""), (1002, "é日本 Straße İ K ſ\n" * 90), (1003, "Nation, tone: 12 + 4/3 " * 700)]
+    docs = docs_frame(spark, rows)
+    table = [r.asDict() for r in secrets.histogram(docs).collect()]
+    prose = {(r["a"], r["cls"], r["bin"]): r["n_null"] for r in secrets.histogram(docs_frame(spark, [])).collect()}
+    cells = {(r["a"], r["cls"]) for r in table if r["n"]}
+    assert len(cells) >= 4
+    for a, c in {(r["a"], r["cls"]) for r in table}:
+        (case, out), n = secrets.FOLDS[a - 1], secrets.CLASSES[c][1]
+        expected = 0
+        for _, text in rows if (a, c) in cells else []:
+            body = re.sub(secrets.CANDIDATE, " ", text or "")
+            body = body.lower() if case == "lower" else body.upper() if case == "upper" else " ".join(w[:1].upper() + w[1:].lower() for w in body.split(" "))
+            expected += len(re.sub(out, "", body.replace(" ", "/") if "/" in out else body)) // n
+        assert sum(r["n_null"] for r in table if (r["a"], r["cls"]) == (a, c)) == expected + sum(v for k, v in prose.items() if k[:2] == (a, c))
+
+
 def test_no_python_in_the_plan(spark, odd_docs):
     df = secrets.scan(docs_frame(spark, odd_docs).repartition(2))
     plan = df._jdf.queryExecution().executedPlan().toString()
