@@ -197,3 +197,15 @@ def test_thresholds_against_brute_force(spark, corpus):
     for _, key, b in candidates[: max(passing) + 1]:
         expected[key] = max(expected.get(key, b), b)
     assert secrets.thresholds(docs) == expected and expected
+
+
+def test_pipeline_stage_judges_by_whole_texts(spark, monkeypatch):
+    """The stage's thresholds come from a histogram with every string of the texts."""
+    import corpus_pipeline
+
+    key = "".join(random.Random(6).choices(string.ascii_letters + string.digits, k=32))
+    tables, judge = [], secrets.with_p_values
+    monkeypatch.setattr(secrets, "with_p_values", lambda table: judge(tables.append(table) or table))
+    rows = [(1, "heron nation tone " * 800), (2, f"use {key} here")]
+    corpus_pipeline.secret_scan(spark, docs_frame(spark, rows), "")
+    assert tables[0].where("a = 8 and cls = 3").agg(F.sum("n_null")).first()[0] >= 800 * len("heronnationtone") // 38
