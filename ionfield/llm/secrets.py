@@ -34,14 +34,17 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 
 KINDS = ("assign", "access", "hex", "random")
+# Classes of several ranges are listed in full where all text is read: java.util.regex finds a listed character in a
+# table, but asks one range after the other through calls that are not inlined.
+LETTERS_AND_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 # Patterns of the base kinds: fixed values (pattern, group whose length counts, least length).
 PATTERNS = (
     (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     (r"AKIA[A-Z0-9]+", 0, 20),
-    (r"[0-9a-f]{24,}", 0, 24),  # runs are maximal, so shorter ones need no match that is then dropped
+    (r"[0123456789abcdef]{24,}", 0, 24),  # runs are maximal, so shorter ones need no match that is then dropped
 )
 LEAST_RUN = 16
-CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+CANDIDATE = rf"[{LETTERS_AND_DIGITS}+/_-]{{16,}}={{0,2}}"
 # Alphabets by size: fixed values (pattern, symbols).
 ALPHABETS = (
     ("^[0-9]+$", "0123456789"),
@@ -52,7 +55,7 @@ ALPHABETS = (
     ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    ("^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
+    ("^[0-9A-Za-z]+$", LETTERS_AND_DIGITS),
     ("^.*$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/"),
 )
 #: How a text is written in each alphabet but the first: case, and what is left out.
@@ -175,9 +178,8 @@ def _windows_of_prose() -> str:
     return f"flatten(transform(sequence(0, char_length(pieces) - {WINDOW}, 16), s -> flatten(transform(sequence(1, {len(FOLDS)}), a -> transform(sequence(0, {len(CLASSES) - 1}), c -> named_struct('t', substring(pieces, 1 + s, {WINDOW}), 'a', a, 'c', c))))))"
 
 
-#: Eight bytes of 1, and a code's planes: its six bits, and whether it is in the alphabet's upper half.
+#: Eight bytes of 1.
 _ONES = 0x0101010101010101
-_PLANES = (*range(6), "u")
 
 
 def _cell(a: int, c: int) -> Column:
@@ -206,8 +208,9 @@ def _null_strings(docs: DataFrame, cells: list[tuple[int, int]]) -> DataFrame:
     cased = {"lower": F.lower("body"), "upper": F.upper("body"), "initcap": F.initcap("body")}
 
     def folded(a: int) -> Column:
-        case, out = FOLDS[a - 1]
-        if "/" not in out:
+        case, symbols = FOLDS[a - 1][0], ALPHABETS[a][1]
+        out = f"[^{symbols}]+"  # runs of what the fold leaves out
+        if "/" not in symbols:
             return F.regexp_replace(cased[case], out, "")
         # Both signs get the bytes behind z, where their codes are.
         return F.translate(F.regexp_replace(F.replace(cased[case], F.lit(" "), F.lit("/")), out, ""), "+/", "{|")
@@ -225,8 +228,12 @@ def _null_strings(docs: DataFrame, cells: list[tuple[int, int]]) -> DataFrame:
 
 def _null_statistics(strings: DataFrame, cells: list[tuple[int, int]]) -> DataFrame:
     """(a, cls, bin) of null strings (i, w) of ``cells``: the result of ``_statistics`` from bit planes, as all texts are many strings."""
-    words = -(-max(n for _, n in CLASSES) // 8)
-    least = -(-min(n for _, n in CLASSES) // 8)
+    # What no cell's strings are long enough for, and symbols that none has, would only give zeros.
+    words = -(-max(CLASSES[c][1] for _, c in cells) // 8)
+    least = -(-min(CLASSES[c][1] for _, c in cells) // 8)
+    halves = range(-(-words // 8))
+    symbols = max(len(ALPHABETS[a][1]) for a, _ in cells)
+    bits = range((symbols - 1).bit_length())
     have = lambda j, e: e if j < least else f"if(words > {j}, {e}, 0L)"
     total = lambda terms: "(" + " + ".join(terms) + ")"
     # A lambda keeps a projection out of whole-stage code, whose single method would be too long to be compiled; the
@@ -241,21 +248,23 @@ def _null_statistics(strings: DataFrame, cells: list[tuple[int, int]]) -> DataFr
     plane = lambda p, w: " | ".join(f"shiftleft({bit(p, j)} & {_ONES}L, {j % 8})" for j in range(8 * w, min(8 * w + 8, words)))
     strings = strings.select(F.get(F.array(*(_cell(a, c) for a, c in cells)), F.col("i")).alias("c"), "w")
     rows = strings.select("c.*", F.expr("hex(rpad(w, 8 * c.words, c.pad))").alias("h"))
-    rows = rows.selectExpr(apart, *constants, *(f"{plane(p, w)} as p{p}_{w}" for p in _PLANES for w in (0, 1)))
+    # A code's planes are its bits, and whether it is in the alphabet's upper half.  Nothing is null; coalesce lets the
+    # optimizer know, which shortens the code of what follows.
+    rows = rows.selectExpr(apart, *(f"coalesce({c}, 0) as {c}" for c in constants), *(f"coalesce({plane(p, w)}, 0L) as p{p}_{w}" for p in (*bits, "u") for w in halves))
 
     # ``w`` is the number of the plane's word; ``after`` is a plane one character on.
-    count = lambda e: f"cast(bit_count({e(0)}) + bit_count({e(1)}) as double)"
-    after = lambda p, w: f"(shiftleft(p{p}_{w}, 8) | shiftrightunsigned(p{p}_{w}, 57)" + ("" if w else f" | shiftleft(shiftrightunsigned(p{p}_1, 56) & 1L, 7)") + ")"
-    eighth = lambda v, low, w: "(" + " & ".join(f"{'' if v >> b & 1 else '~'}p{low + b}_{w}" for b in range(3)) + (f" & all{w})" if low else ")")
-    symbol = [count(lambda w: f"{eighth(v >> 3, 3, w)} & {eighth(v & 7, 0, w)}") for v in range(64)]  # noqa: B023
+    count = lambda e: "cast(" + " + ".join(f"bit_count({e(w)})" for w in halves) + " as double)"
+    after = lambda p, w: f"(shiftleft(p{p}_{w}, 8) | shiftrightunsigned(p{p}_{w}, 57)" + ("" if w or len(halves) == 1 else f" | shiftleft(shiftrightunsigned(p{p}_1, 56) & 1L, 7)") + ")"
+    eighth = lambda v, low, w: "(" + " & ".join(f"{'' if v >> b & 1 else '~'}p{low + b}_{w}" for b in range(3) if low + b in bits) + (f" & all{w})" if low else ")")
+    symbol = [count(lambda w: f"{eighth(v >> 3, 3, w)} & {eighth(v & 7, 0, w)}") for v in range(symbols)]  # noqa: B023
     rows = rows.selectExpr(
         apart, "cls", "n", "k",
         total([f"{c} * {c}" for c in symbol]) + " as sq",
-        total([f"{1 << b} * " + count(lambda w: f"p{b}_{w}") for b in range(6)]) + " as sx",  # noqa: B023
-        total([f"{1 << b} * cast(shiftrightunsigned(p{b}_0, 56) & 1L as double)" for b in range(6)]) + " as first",
-        total([f"{1 << b} * " + count(lambda w: f"p{b}_{w} & last{w}") for b in range(6)]) + " as final",  # noqa: B023
-        total([f"{(1 << b + c) * (1 if b == c else 2)} * " + count(lambda w: f"p{b}_{w} & p{c}_{w}") for b in range(6) for c in range(b, 6)]) + " as sxx",  # noqa: B023
-        total([f"{1 << b + c} * " + count(lambda w: f"p{b}_{w} & {after(c, w)}") for b in range(6) for c in range(6)]) + " as sxy",  # noqa: B023
+        total([f"{1 << b} * " + count(lambda w: f"p{b}_{w}") for b in bits]) + " as sx",  # noqa: B023
+        total([f"{1 << b} * cast(shiftrightunsigned(p{b}_0, 56) & 1L as double)" for b in bits]) + " as first",
+        total([f"{1 << b} * " + count(lambda w: f"p{b}_{w} & last{w}") for b in bits]) + " as final",  # noqa: B023
+        total([f"{(1 << b + c) * (1 if b == c else 2)} * " + count(lambda w: f"p{b}_{w} & p{c}_{w}") for b in bits for c in bits if b <= c]) + " as sxx",  # noqa: B023
+        total([f"{1 << b + c} * " + count(lambda w: f"p{b}_{w} & {after(c, w)}") for b in bits for c in bits]) + " as sxy",  # noqa: B023
         count(lambda w: f"pu_{w}") + " as high",
         count(lambda w: f"(pu_{w} ^ {after('u', w)}) & all{w} & ~last{w}") + " as changes",
     )

@@ -141,6 +141,32 @@ def test_null_strings_are_those_of_whole_texts(spark, corpus):
         assert sum(r["n_null"] for r in table if (r["a"], r["cls"]) == (a, c)) == expected + sum(v for k, v in prose.items() if k[:2] == (a, c))
 
 
+def test_null_statistics_leave_out_only_zeros(spark):
+    """A cell's statistics are the same alone and beside the longest strings of the largest alphabet; alone, short ones have no second words."""
+    rng = random.Random(7)
+    for a, c in ((1, 0), (3, 1), (5, 2), (6, 3), (8, 4), (9, 5)):
+        symbols, n = secrets.ALPHABETS[a][1], secrets.CLASSES[c][1]
+        strings = spark.createDataFrame([(0, "".join(rng.choices(symbols[:m], k=n))) for m in (len(symbols), 9, 2) for _ in range(9)], "i int, w string").withColumn("w", F.translate("w", "+/", "{|"))
+        alone, beside = (secrets._null_statistics(strings, cells) for cells in ([(a, c)], [(a, c), (9, 5)]))
+        assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, beside.collect()))
+        assert ("p0_1" in alone._jdf.queryExecution().analyzed().toString()) == (n > 64)
+
+
+def test_texts_are_read_by_listed_characters(spark):
+    """Listed classes take what the ranges take; no class of several ranges, which takes ten times as long, reads whole texts."""
+    chars = "".join(map(chr, range(0x2500)))
+    for (_, out), (_, symbols) in zip(secrets.FOLDS, secrets.ALPHABETS[1:], strict=True):
+        assert sorted(re.sub(out, "", chars)) == sorted(symbols)
+    rng = random.Random(8)
+    text = "".join(rng.choice("azAZ09+/_-=.[`@{:é ") * rng.choice((1, 9, 40)) for _ in range(3000))
+    ranges = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+    assert re.findall(secrets.CANDIDATE, text) == re.findall(ranges, text) != []
+    docs = docs_frame(spark, [(1, text), (2, chars)])
+    for a, c in ((6, 0), (8, 0), (9, 0)):
+        strings = secrets._null_strings(docs, [(a, c)])
+        assert not re.search(r"\[\^?\w-\w\w-\w", strings._jdf.queryExecution().analyzed().toString())
+
+
 def test_no_python_in_the_plan(spark, odd_docs):
     df = secrets.scan(docs_frame(spark, odd_docs).repartition(2))
     plan = df._jdf.queryExecution().executedPlan().toString()
