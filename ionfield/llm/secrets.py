@@ -178,6 +178,10 @@ def _windows_of_prose() -> str:
     return f"flatten(transform(sequence(0, char_length(pieces) - {WINDOW}, 16), s -> flatten(transform(sequence(1, {len(FOLDS)}), a -> transform(sequence(0, {len(CLASSES) - 1}), c -> named_struct('t', substring(pieces, 1 + s, {WINDOW}), 'a', a, 'c', c))))))"
 
 
+#: Alphabets in capitals, by those in small letters that have the same codes; and what an alphabet's number is raised by
+#: where its strings count for both.
+CAPITALS = {1: 2, 3: 4, 6: 7}
+BOTH = 16
 #: Eight bytes of 1.
 _ONES = 0x0101010101010101
 
@@ -189,7 +193,7 @@ def _cell(a: int, c: int) -> Column:
     of a string is bit 8 (7 - i) + j of a plane's first word, beyond 64 characters of its second; ``all`` marks the
     string's characters there, ``last`` its last one.
     """
-    symbols, n = ALPHABETS[a][1], CLASSES[c][1]
+    symbols, n = ALPHABETS[a % BOTH][1], CLASSES[c][1]
     base = ord("2") - 26 if symbols.startswith("A") and symbols.endswith("7") else ord("0")
     alpha = next(ord(s) - symbols.index(s) for s in symbols if s.isalpha()) - base
     small = ord("a") - symbols.index("a") - base - alpha if "a" in symbols else 0
@@ -204,7 +208,11 @@ def _cell(a: int, c: int) -> Column:
 
 
 def _null_strings(docs: DataFrame, cells: list[tuple[int, int]]) -> DataFrame:
-    """(i, w): all null strings of the texts for the alphabet and class that are number i, from 0, of ``cells``."""
+    """(i, w): all null strings of the texts for the alphabet and class that are number i, from 0, of ``cells``.
+
+    A cell with ``BOTH`` gets the strings that small letters and capitals would both get, from the texts whose other
+    characters give no letter in either case (as the sharp s does); the two cells then get those of the other texts.
+    """
     cased = {"lower": F.lower("body"), "upper": F.upper("body"), "initcap": F.initcap("body")}
 
     def folded(a: int) -> Column:
@@ -215,13 +223,26 @@ def _null_strings(docs: DataFrame, cells: list[tuple[int, int]]) -> DataFrame:
         # Both signs get the bytes behind z, where their codes are.
         return F.translate(F.regexp_replace(F.replace(cased[case], F.lit(" "), F.lit("/")), out, ""), "+/", "{|")
 
-    def classes(a: int) -> Column:
-        return F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f".{{{CLASSES[c][1]}}}").alias("pattern")) for i, (b, c) in enumerate(cells) if b == a))
+    shared = {(x, c) for a, c in cells if a >= BOTH for x in (a - BOTH, CAPITALS[a - BOTH])}
+
+    def classes(a: int, plain: bool) -> Column:
+        found = [(i, c) for i, (b, c) in enumerate(cells) if (b == a and not (plain and (a, c) in shared)) or (plain and b == a + BOTH)]
+        none = F.array().cast("array<struct<i:int,pattern:string>>")
+        return F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f".{{{CLASSES[c][1]}}}").alias("pattern")) for i, c in found)) if found else none
+
+    def strings(a: int) -> Column:
+        if not any((a, c) in shared for _, c in cells):
+            return F.struct(folded(a).alias("v"), classes(a, False).alias("cs"))
+        written = folded(a) if any(b == a + BOTH or (b == a and (a, c) not in shared) for b, c in cells) else F.when(~F.col("plain"), folded(a))
+        return F.struct(written.alias("v"), F.when(F.col("plain"), classes(a, True)).otherwise(classes(a, False)).alias("cs"))
 
     # One alphabet, class and array of strings at a time; explode_outer, before which the optimizer puts no filter on
     # the whole expression.
     rows = docs.select(F.regexp_replace(F.coalesce("text", F.lit("")), CANDIDATE, " ").alias("body"))
-    rows = rows.select(F.explode_outer(F.array(*(F.struct(folded(a).alias("v"), classes(a).alias("cs")) for a in sorted({a for a, _ in cells})))).alias("f"))
+    if shared:
+        rows = rows.select("body", F.regexp_replace("body", r"[\x00-\x7F]+", "").alias("other"))
+        rows = rows.select("body", (~F.concat(F.lower("other"), F.upper("other")).rlike("[A-Za-z]")).alias("plain"))
+    rows = rows.select(F.explode_outer(F.array(*map(strings, sorted({a for a, _ in cells if a < BOTH})))).alias("f"))
     rows = rows.select("f.v", F.explode_outer("f.cs").alias("c")).select("v", "c.i", "c.pattern")
     return rows.select("i", F.explode_outer(F.regexp_extract_all("v", F.col("pattern"), F.lit(0))).alias("w")).where("w is not null")
 
@@ -232,7 +253,7 @@ def _null_statistics(strings: DataFrame, cells: list[tuple[int, int]]) -> DataFr
     words = -(-max(CLASSES[c][1] for _, c in cells) // 8)
     least = -(-min(CLASSES[c][1] for _, c in cells) // 8)
     halves = range(-(-words // 8))
-    symbols = max(len(ALPHABETS[a][1]) for a, _ in cells)
+    symbols = max(len(ALPHABETS[a % BOTH][1]) for a, _ in cells)
     bits = range((symbols - 1).bit_length())
     have = lambda j, e: e if j < least else f"if(words > {j}, {e}, 0L)"
     total = lambda terms: "(" + " + ".join(terms) + ")"
@@ -289,8 +310,12 @@ def histogram(docs: DataFrame) -> DataFrame:
     of_prose = docs.sparkSession.range(1).select(F.explode_outer(F.expr(f"flatten(transform(array({prose}), pieces -> {_statistics(_written(_windows_of_prose()))}))")).alias("t"))
     nulls = of_prose.select("t.a", "t.cls", "t.bin")
     if cells:
+        cells += [(BOTH + a, c) for a, c in cells if (CAPITALS.get(a), c) in cells]
         nulls = nulls.unionByName(_null_statistics(_null_strings(docs, cells), cells))
-    both = found.unionByName(nulls.groupBy("a", "cls", "bin").agg(F.count(F.lit(1)).alias("n_null")), allowMissingColumns=True)
+    nulls = nulls.groupBy("a", "cls", "bin").agg(F.count(F.lit(1)).alias("n_null"))
+    capitals = "case a " + " ".join(f"when {BOTH + a} then {b}" for a, b in CAPITALS.items()) + " end"
+    nulls = nulls.withColumn("a", F.explode_outer(F.expr(f"if(a < {BOTH}, array(a), array(a - {BOTH}, {capitals}))")))
+    both = found.unionByName(nulls, allowMissingColumns=True)
     return both.groupBy("a", "cls", "bin").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_null"), F.lit(0)).alias("n_null"))
 
 

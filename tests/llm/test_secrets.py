@@ -167,6 +167,20 @@ def test_texts_are_read_by_listed_characters(spark):
         assert not re.search(r"\[\^?\w-\w\w-\w", strings._jdf.queryExecution().analyzed().toString())
 
 
+def test_strings_of_both_cases_are_made_once(spark):
+    """Cells of small letters and of capitals get the same strings with shared cells as without."""
+    texts = ["Heron nation 12 tone, feed cafe bead " * 9, None, "", "é日本 naïve heron tone nation " * 9, "Straße ſ K İ ﬁn ı heron nation 7 " * 9]
+    docs = docs_frame(spark, list(enumerate(texts)))
+    cells = [(1, 0), (2, 0), (3, 0), (3, 1), (4, 0), (6, 1), (7, 1)]
+    shared = [(secrets.BOTH + a, c) for a, c in ((1, 0), (3, 0), (6, 1))]
+    alone = sorted((cells[r["i"]], r["w"]) for r in secrets._null_strings(docs, cells).collect())
+    made = [((cells + shared)[r["i"]], r["w"]) for r in secrets._null_strings(docs, cells + shared).collect()]
+    both = [((a - secrets.BOTH, c), w) for (a, c), w in made if a >= secrets.BOTH]
+    both += [((secrets.CAPITALS[a], c), w.upper()) for (a, c), w in both]
+    assert len(made) < len(alone) and {cell for cell, _ in made} == {*cells, *shared}
+    assert sorted(both + [x for x in made if x[0][0] < secrets.BOTH]) == alone
+
+
 def test_no_python_in_the_plan(spark, odd_docs):
     df = secrets.scan(docs_frame(spark, odd_docs).repartition(2))
     plan = df._jdf.queryExecution().executedPlan().toString()
