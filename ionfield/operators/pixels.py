@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,6 +91,24 @@ def to_long(df: DataFrame, features=None) -> DataFrame:
     return df.select(*(quote(c) for c in meta), each).select(*(quote(c) for c in meta), "_f.feature", "_f.value")
 
 
+class Packed(NamedTuple):
+    """The packed form: a row per pixel, its values in the array ``v`` in the order of ``features``.  Operators that take
+    it need no shuffle to see a pixel whole."""
+
+    rows: DataFrame
+    features: list[str]
+
+    def long(self) -> DataFrame:
+        """The rows' other columns, feature, value."""
+        rest = [quote(c) for c in self.rows.columns if c != "v"]
+        names = F.array(*map(F.lit, self.features))
+        return self.rows.select(*rest, F.posexplode("v").alias("_i", "value")).select(*rest, F.get(names, F.col("_i")).alias("feature"), "value")
+
+
+def as_long(df: DataFrame | Packed) -> DataFrame:
+    return df.long() if isinstance(df, Packed) else df
+
+
 def to_wide(long: DataFrame, meta, features: list[str], fill: float | None = 0.0) -> DataFrame:
     wide = long.groupBy(*meta).pivot("feature", features).agg(F.first("value"))
     return wide.fillna(fill, subset=features) if fill is not None else wide

@@ -7,11 +7,44 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import EPS, quantile, safe_divide
-from .pixels import feature_stats
+from ..functions.expressions import EPS, quantile_table, safe_divide
+from ..storage import materialize
+from .pixels import Packed, as_long, feature_stats
 
 
-def total_ion_current(long: DataFrame, keys=("pixel_id",)) -> DataFrame:
+def _kept(packed: Packed, excluded: list[str] | None) -> Column:
+    """The array of values without the excluded features'."""
+    if not excluded:
+        return F.col("v")
+    return F.array(*(F.get("v", F.lit(i)) for i, f in enumerate(packed.features) if f not in excluded)).cast("array<double>")
+
+
+def packed_total(packed: Packed, method: str = "raw", excluded: list[str] | None = None, trim: float = 0.1) -> Column:
+    """A packed pixel's total (see ``foreground_tic``): NULL where it has no value."""
+    v = _kept(packed, excluded if method == "exclude_features" else None)
+    if method in ("raw", "exclude_features"):
+        return F.aggregate(v, F.lit(None).cast("double"), lambda s, x: F.coalesce(s + x, x, s))
+    known = F.array_sort(F.filter(v, lambda x: x.isNotNull()))
+    if method == "median":
+        return _middle(known) * F.size(v)
+    cut = F.floor(F.size(known) * trim).cast("int")
+    middle = F.slice(known, cut + 1, F.size(known) - 2 * cut)
+    return F.when(F.size(known) > 0, F.aggregate(middle, F.lit(0.0), lambda s, x: s + x) / F.size(middle) * F.size(known))
+
+
+def _middle(ordered: Column) -> Column:
+    """The median of an ordered array; NULL of an empty one."""
+    n = F.size(ordered)
+    return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+
+
+def packed_nonzero(packed: Packed, excluded: list[str] | None = None) -> Column:
+    return F.aggregate(_kept(packed, excluded), F.lit(0).cast("long"), lambda s, x: s + F.when(x > 0, 1).otherwise(0))
+
+
+def total_ion_current(long: DataFrame | Packed, keys=("pixel_id",)) -> DataFrame:
+    if isinstance(long, Packed):
+        return long.rows.select(*keys, packed_total(long).alias("tic"), packed_nonzero(long).alias("n_nonzero"))
     return long.groupBy(*keys).agg(F.sum("value").alias("tic"), F.sum((F.col("value") > 0).cast("long")).alias("n_nonzero"))
 
 
@@ -36,12 +69,15 @@ def scale_features(long: DataFrame, by=()) -> DataFrame:
     """z-scores per feature (and group); 0 where they aren't finite."""
     stats = long.groupBy(*by, "feature").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
     z = safe_divide(F.col("value") - F.col("_m"), F.col("_s"))
-    return long.join(stats, [*by, "feature"]).withColumn("value", F.coalesce(F.when(F.isnan(z), None).otherwise(z), F.lit(0.0))).drop("_m", "_s")
+    return long.join(F.broadcast(stats), [*by, "feature"]).withColumn("value", F.coalesce(F.when(F.isnan(z), None).otherwise(z), F.lit(0.0))).drop("_m", "_s")  # a row per feature (and group)
 
 
-def foreground_tic(long: DataFrame, method: str = "raw", excluded: list[str] | None = None, trim: float = 0.1) -> DataFrame:
+def foreground_tic(long: DataFrame | Packed, method: str = "raw", excluded: list[str] | None = None, trim: float = 0.1) -> DataFrame:
     """(pixel_id, tic, n_nonzero) with a robust total: raw, without excluded features, or a trimmed mean or
     median times the number of features."""
+    if isinstance(long, Packed):
+        left_out = excluded if method == "exclude_features" else None
+        return long.rows.select("pixel_id", packed_total(long, method, excluded, trim).alias("tic"), packed_nonzero(long, left_out).alias("n_nonzero"))
     kept = long.where(~F.col("feature").isin(excluded)) if method == "exclude_features" and excluded else long
     nz = F.sum((F.col("value") > 0).cast("long")).alias("n_nonzero")
     if method in ("raw", "exclude_features"):
@@ -92,39 +128,48 @@ def otsu(df: DataFrame, value: str, breaks: list[float] | None = None, bins: int
     return hist.orderBy(F.desc(F.round("between", 9)), "k").limit(1).select(F.col("mid").alias("threshold"), "between")
 
 
-def background_mask(long: DataFrame, method: str = "tic_percentile", percentile: float = 0.1, median_percent: float = 20, min_nonzero: int = 1, excluded: list[str] | None = None, trim: float = 0.1, otsu_breaks: list[float] | None = None, by=()) -> DataFrame:
+def background_mask(long: DataFrame | Packed, method: str = "tic_percentile", percentile: float = 0.1, median_percent: float = 20, min_nonzero: int = 1, excluded: list[str] | None = None, trim: float = 0.1, otsu_breaks: list[float] | None = None, by=(), keep_values: bool = False) -> DataFrame:
     """(by, pixel_id, tic, n_nonzero, keep): tissue pixels by a threshold on a (robust) total; quantile thresholds
-    may be each group's own."""
+    may be each group's own.  The totals are written once: thresholds are searched in a table with a row per pixel.
+    ``keep_values`` adds them to the columns of packed rows instead."""
     source = {"gap_otsu_log_tic": "exclude_features", "trimmed_otsu_log_tic": "trimmed", "median_otsu_log_tic": "median"}.get(method, "raw")
-    rows = foreground_tic(long, source, excluded, trim)
-    if by:
-        if method not in ("tic_percentile", "median_fraction"):
-            raise ValueError(f"{method!r} has one threshold for all groups")
-        rows = rows.join(long.select("pixel_id", *by).distinct(), "pixel_id")
+    if by and method not in ("tic_percentile", "median_fraction", "none"):
+        raise ValueError(f"{method!r} has one threshold for all groups")
+    if isinstance(long, Packed):
+        left_out = excluded if source == "exclude_features" else None
+        kept = long.rows.columns if keep_values else (*by, "pixel_id")
+        rows = long.rows.select(*kept, packed_total(long, source, excluded, trim).alias("tic"), packed_nonzero(long, left_out).alias("n_nonzero"))
+    else:
+        rows = foreground_tic(long, source, excluded, trim)
+        if by:
+            rows = rows.join(long.select("pixel_id", *by).distinct(), "pixel_id")
+    rows = materialize(rows, "totals")
+    totals = rows.select(*by, "tic", "n_nonzero")
     positive = F.when(F.col("tic") > 0, F.col("tic"))
     if method == "none":
         return rows.withColumn("keep", F.lit(True))
     if method == "tic_percentile":
-        cut = rows.groupBy(*by).agg(quantile(positive, percentile).alias("cut"))
+        cut = quantile_table(totals, positive, percentile, by)
         score: Column = F.col("tic")
     elif method == "median_fraction":
-        cut = rows.groupBy(*by).agg((F.median(positive) * median_percent / 100).alias("cut"))
+        cut = quantile_table(totals, positive, 0.5, by).withColumn("cut", F.col("cut") * median_percent / 100)
         score = F.col("tic")
     elif method.endswith("otsu_log_tic"):
-        logged = rows.select(F.log10(F.col("tic") + 1).alias("s"))
+        logged = totals.select(F.log10(F.col("tic") + 1).alias("s"))
         cut, score = otsu(logged, "s", otsu_breaks).select(F.col("threshold").alias("cut")), F.log10(F.col("tic") + 1)
     elif method == "log_tic_kmeans":
-        cut, score = two_means(rows.select(F.log10(F.col("tic") + 1).alias("s")), "s"), F.log10(F.col("tic") + 1)
+        cut, score = two_means(totals.select(F.log10(F.col("tic") + 1).alias("s")), "s"), F.log10(F.col("tic") + 1)
     else:
         raise ValueError(f"unknown method {method!r}")
-    rows = rows.join(cut, list(by)) if by else rows.crossJoin(F.broadcast(cut))
+    rows = rows.join(F.broadcast(cut), list(by)) if by else rows.crossJoin(F.broadcast(cut))  # a row per group
     return rows.withColumn("keep", (score >= F.col("cut")) & (F.col("n_nonzero") >= min_nonzero)).drop("cut")
 
 
 def two_means(df: DataFrame, value: str, iterations: int = 50) -> DataFrame:
-    """One row (cut): the middle of two one-dimensional Lloyd centres, started at the quartiles."""
-    rows = df.select(F.col(value).alias("v"))
-    a, b = rows.agg(quantile(F.col("v"), 0.25), quantile(F.col("v"), 0.75)).first()
+    """One row (cut): the middle of two one-dimensional Lloyd centres, started at the quartiles.  Every iteration
+    reads the values, so they are written once."""
+    rows = materialize(df.select(F.col(value).alias("v")).where("v is not null"), "scores")
+    a, b = (quantile_table(rows, F.col("v"), p).first()[0] for p in (0.25, 0.75))
     for _ in range(iterations):
         if a is None or a == b:
             break
@@ -175,9 +220,13 @@ def detect_ubiquitous_features(long: DataFrame, method: str = "gap", multiplier:
     return rates.join(gap, "feature").join(mad, "feature").withColumn("excluded", rule)
 
 
-def contamination_agreement(long: DataFrame, mask: DataFrame, exclude_if: float = 1.0, eps: float = EPS) -> DataFrame:
+def contamination_agreement(long: DataFrame | Packed, mask: DataFrame, exclude_if: float = 1.0, eps: float = EPS) -> DataFrame:
     """Per feature the background/tissue ratio and how many of gap, MAD and enrichment call it contamination."""
-    v = long.join(mask.select("pixel_id", "keep"), "pixel_id")
+    if isinstance(long, Packed) and "v" in mask.columns:  # the mask's rows have the values
+        long = v = Packed(mask, long.features).long()
+    else:
+        long = as_long(long)
+        v = long.join(mask.select("pixel_id", "keep"), "pixel_id")
     means = v.groupBy("feature").agg(F.avg(F.when(~F.col("keep"), F.col("value"))).alias("background_mean"), F.avg(F.when(F.col("keep"), F.col("value"))).alias("tissue_mean"))
     votes = detect_ubiquitous_features(long, "consensus").select("feature", "nonzero_rate", "gap", "mad")
     out = means.join(votes, "feature").withColumn("ratio", F.col("background_mean") / F.greatest(F.col("tissue_mean"), F.lit(eps)))
@@ -185,9 +234,11 @@ def contamination_agreement(long: DataFrame, mask: DataFrame, exclude_if: float
     return out.withColumn("agreement", F.col("gap").cast("long") + F.col("mad").cast("long") + F.col("enrichment").cast("long"))
 
 
-def preprocess(long: DataFrame, background: str = "none", tic: bool = True, log: bool = True, scale: bool = False, by=(), **options) -> DataFrame:
+def preprocess(long: DataFrame | Packed, background: str = "none", tic: bool = True, log: bool = True, scale: bool = False, by=(), **options) -> DataFrame:
     """Background filter, then median-rescaled TIC, log10(x + 1) and z-scores; per group where ``by`` is given
-    (thresholds and rescaling are the group's own)."""
+    (thresholds and rescaling are the group's own).  Packed rows are filtered and rescaled as they are."""
+    if isinstance(long, Packed):
+        return _preprocess_packed(long, background, tic, log, scale, by, **options)
     if background != "none":
         if by and background in ("tic_percentile", "median_fraction"):
             long = long.join(background_mask(long, background, by=by, **options).where("keep").select("pixel_id"), "pixel_id", "left_semi")
@@ -206,6 +257,19 @@ def preprocess(long: DataFrame, background: str = "none", tic: bool = True, log:
     return scale_features(long, by) if scale else long
 
 
+def _preprocess_packed(packed: Packed, background: str, tic: bool, log: bool, scale: bool, by, **options) -> DataFrame:
+    mask = background_mask(packed, background, by=by, keep_values=True, **options).where("keep")
+    rows = mask.drop("tic", "n_nonzero", "keep").withColumn("tic", packed_total(packed))
+    if tic:
+        positive = F.when(F.col("tic") > 0, F.col("tic"))
+        scales = quantile_table(rows, positive, 0.5, by, "scale")
+        rows = rows.join(F.broadcast(scales), list(by)) if by else rows.crossJoin(F.broadcast(scales))  # a row per group
+        rows = rows.withColumn("v", F.when(F.col("tic") > 0, F.transform("v", lambda x: x / F.col("tic") * F.col("scale"))).otherwise(F.transform("v", lambda x: F.lit(0.0)))).drop("scale")
+    long = Packed(rows.drop("tic"), packed.features).long()
+    long = log10_transform(long) if log else long
+    return scale_features(long, by) if scale else long
+
+
 def nonzero_filter(long: DataFrame, least: int = 1) -> DataFrame:
     """Pixels with at least so many positive values."""
     w = Window.partitionBy("pixel_id")

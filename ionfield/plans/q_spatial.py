@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, pixels, preprocess, svg
-from .bindings import P1, P2, ROOK1, ROOK2, md5_slots, p1, p1_pixels, p2, p2_pixels, rounded
+from .bindings import P1, P2, ROOK1, ROOK2, md5_slots, p1, p1_packed, p1_pixels, p2, p2_pixels, rounded
 
 Q: dict = {}
 SQL: dict = {}
@@ -68,7 +68,7 @@ def _(spark, sf):
 @query("pipeline_qc", f"""WITH {P1}, t AS (SELECT pixel_id, sum(value) AS tic, count(*) FILTER (value > 0) AS nz FROM p1 GROUP BY 1)
 SELECT count(*) AS n_pixels, count(*) FILTER (nz >= 2) AS n_kept, round(avg(tic), 4) AS mean_tic, round(median(tic), 4) AS median_tic FROM t""", 4)
 def _(spark, sf):
-    return preprocess.total_ion_current(p1(spark, sf)).agg(F.count("*").alias("n_pixels"), F.sum((F.col("n_nonzero") >= 2).cast("long")).alias("n_kept"), F.avg("tic").alias("mean_tic"), F.median("tic").alias("median_tic"))
+    return preprocess.total_ion_current(p1_packed(spark, sf)).agg(F.count("*").alias("n_pixels"), F.sum((F.col("n_nonzero") >= 2).cast("long")).alias("n_kept"), F.avg("tic").alias("mean_tic"), F.median("tic").alias("median_tic"))
 
 
 TIC1 = "t AS (SELECT pixel_id, sum(value) AS tic, count(*) FILTER (value > 0) AS n_nonzero FROM p1 GROUP BY 1)"
@@ -76,12 +76,12 @@ TIC1 = "t AS (SELECT pixel_id, sum(value) AS tic, count(*) FILTER (value > 0) AS
 
 @query("background_percentile", f"WITH {P1}, {TIC1}, c AS (SELECT quantile_cont(tic, 0.1) AS cut FROM t WHERE tic > 0) SELECT pixel_id, round(tic, 4) AS tic, n_nonzero, tic >= cut AND n_nonzero >= 1 AS keep FROM t, c", 4)
 def _(spark, sf):
-    return preprocess.background_mask(p1(spark, sf), "tic_percentile", 0.1)
+    return preprocess.background_mask(p1_packed(spark, sf), "tic_percentile", 0.1)
 
 
 @query("background_median_fraction", f"WITH {P1}, {TIC1}, c AS (SELECT median(tic) * 0.2 AS cut FROM t WHERE tic > 0) SELECT pixel_id, round(tic, 4) AS tic, n_nonzero, tic >= cut AND n_nonzero >= 1 AS keep FROM t, c", 4)
 def _(spark, sf):
-    return preprocess.background_mask(p1(spark, sf), "median_fraction", median_percent=20)
+    return preprocess.background_mask(p1_packed(spark, sf), "median_fraction", median_percent=20)
 
 
 BREAKS = [2.5 + 0.05 * i for i in range(81)]
@@ -94,20 +94,20 @@ w AS (SELECT k, mid, sum(n) OVER (ORDER BY k) AS n0, sum(n) OVER () AS nn, sum(n
 b AS (SELECT k, mid, coalesce(n0 / nn * (nn - n0) / nn * (s0 / n0 - (ss - s0) / nullif(nn - n0, 0)) * (s0 / n0 - (ss - s0) / nullif(nn - n0, 0)), 0) AS bt FROM w)
 SELECT round(mid, 6) AS threshold, round(bt, 6) AS between FROM b ORDER BY round(bt, 9) DESC, k LIMIT 1""")
 def _(spark, sf):
-    tic = preprocess.total_ion_current(p1(spark, sf)).select(F.log10(F.col("tic") + 1).alias("s"))
+    tic = preprocess.total_ion_current(p1_packed(spark, sf)).select(F.log10(F.col("tic") + 1).alias("s"))
     return preprocess.otsu(tic, "s", BREAKS)
 
 
 @query("background_robust_totals", f"""WITH {P1}, o AS (SELECT pixel_id, value, row_number() OVER (PARTITION BY pixel_id ORDER BY value) AS r FROM p1)
 SELECT pixel_id, round(median(value) * count(*), 4) AS median_total, round(avg(value) FILTER (r > 5 AND r <= 45) * count(*), 4) AS trimmed_total FROM o GROUP BY 1""", 4)
 def _(spark, sf):
-    a = preprocess.foreground_tic(p1(spark, sf), "median").select("pixel_id", F.col("tic").alias("median_total"))
-    return a.join(preprocess.foreground_tic(p1(spark, sf), "trimmed").select("pixel_id", F.col("tic").alias("trimmed_total")), "pixel_id")
+    packed = p1_packed(spark, sf)
+    return packed.rows.select("pixel_id", *(preprocess.packed_total(packed, m).alias(f"{m}_total") for m in ("median", "trimmed")))
 
 
 @query("background_kmeans")
 def _(spark, sf):
-    return preprocess.background_mask(p1(spark, sf), "log_tic_kmeans")
+    return preprocess.background_mask(p1_packed(spark, sf), "log_tic_kmeans")
 
 
 @query("preprocess_sections", f"""WITH {P1}, t AS (SELECT section_id, pixel_id, sum(value) AS tic FROM p1 GROUP BY 1, 2), c AS (SELECT section_id, quantile_cont(tic, 0.1) AS cut FROM t WHERE tic > 0 GROUP BY 1),
@@ -115,7 +115,7 @@ k AS (SELECT t.* FROM t JOIN c USING (section_id) WHERE tic >= cut AND tic > 0),
 l AS (SELECT k.section_id, feature, log10(value / tic * scale + 1) AS v FROM p1 JOIN k USING (pixel_id) JOIN md ON md.section_id = k.section_id), s AS (SELECT section_id, feature, avg(v) AS m, stddev_samp(v) AS s FROM l GROUP BY 1, 2)
 SELECT section_id, feature, count(*) AS n, round(avg(coalesce((v - m) / nullif(s, 0), 0)), 6) + 0.0 AS mean, round(max(coalesce((v - m) / nullif(s, 0), 0)), 6) AS top FROM l JOIN s USING (section_id, feature) GROUP BY 1, 2""")
 def _(spark, sf):
-    out = preprocess.preprocess(p1(spark, sf), "tic_percentile", scale=True, by=("section_id",))
+    out = preprocess.preprocess(p1_packed(spark, sf), "tic_percentile", scale=True, by=("section_id",))
     return out.groupBy("section_id", "feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("top"))
 
 
@@ -147,8 +147,8 @@ def _(spark, sf):
 SELECT feature, round(avg(value) FILTER (NOT keep), 4) AS background_mean, round(avg(value) FILTER (keep), 4) AS tissue_mean, round(avg(value) FILTER (NOT keep) / greatest(avg(value) FILTER (keep), 2.220446049250313e-16), 4) AS ratio,
  avg(value) FILTER (NOT keep) / greatest(avg(value) FILTER (keep), 2.220446049250313e-16) > 0.2 AS enrichment FROM p1 JOIN k USING (pixel_id) GROUP BY 1""", 4)
 def _(spark, sf):
-    long = p1(spark, sf)
-    return preprocess.contamination_agreement(long, preprocess.background_mask(long, "tic_percentile", 0.5), 0.2).select("feature", "background_mean", "tissue_mean", "ratio", "enrichment")
+    packed = p1_packed(spark, sf)
+    return preprocess.contamination_agreement(packed, preprocess.background_mask(packed, "tic_percentile", 0.5, keep_values=True), 0.2).select("feature", "background_mean", "tissue_mean", "ratio", "enrichment")
 
 
 # --- graphs -----------------------------------------------------------------------------------------
