@@ -27,10 +27,11 @@ def ppm_pairs(query: DataFrame, reference: DataFrame, ppm: float, q: str = "q_mz
 
 def nearest_intensity(spectra: DataFrame, targets: DataFrame, ppm: float = 10) -> DataFrame:
     """(pixel_id, feature, value) from (pixel_id, mz array, intensity array) and (feature, target): the nearest
-    peak's intensity (ties: the left one) where it lies within target * ppm / 1e6, else 0."""
+    peak's intensity (ties: the left one, of equal masses the least intensity) where it lies within
+    target * ppm / 1e6, else 0."""
     peaks = spectra.select("pixel_id", F.explode(F.arrays_zip("mz", "intensity")).alias("p")).select("pixel_id", F.col("p.mz").alias("q_mz"), F.col("p.intensity").alias("intensity"))
     hits = ppm_pairs(peaks, targets.select("feature", F.col("target").alias("r_mz")), ppm)
-    best = hits.groupBy("pixel_id", "feature").agg(F.min_by("intensity", F.struct(F.abs(F.col("q_mz") - F.col("r_mz")), F.col("q_mz"))).alias("value"))
+    best = hits.groupBy("pixel_id", "feature").agg(F.min_by("intensity", F.struct(F.abs(F.col("q_mz") - F.col("r_mz")), F.col("q_mz"), F.col("intensity"))).alias("value"))
     grid = spectra.select("pixel_id").join(small(targets.select("feature")), how="cross")  # every pixel has every target: the output
     return grid.join(best, ["pixel_id", "feature"], "left").select("pixel_id", "feature", F.coalesce("value", F.lit(0.0)).alias("value"))
 
