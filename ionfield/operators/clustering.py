@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -180,37 +181,70 @@ def cluster_diagnostics_hmrf(long: DataFrame, edges: DataFrame, k: int = 3, beta
     return long.sparkSession.createDataFrame(out, "beta double, k int, data_energy double, spatial_energy double, total_energy double, tot_withinss double, n_iterations int, converged boolean, adjacent_pair_agreement double, boundary_edge_fraction double, n_edges_undirected long")
 
 
-SILHOUETTE_BLOCK = 2048
+#: Rows on a side of a tile of distances, and of a block that a task holds: at most SILHOUETTE_ROWS, and such that there
+#: are about SILHOUETTE_SPLIT blocks.
+SILHOUETTE_BLOCK, SILHOUETTE_ROWS, SILHOUETTE_SPLIT = 2048, 131_072, 12
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows; where the product form would lose digits, from differences."""
+    nx, ny = (x * x).sum(1), (y * y).sum(1)
+    squares = x @ y.T
+    squares *= -2
+    squares += nx[:, None]
+    squares += ny
+    i, j = np.nonzero(squares <= 1e-6 * max(nx.max(initial=0), ny.max(initial=0)))
+    for at in range(0, len(i), 65_536):
+        a, b = i[at : at + 65_536], j[at : at + 65_536]
+        squares[a, b] = ((x[a] - y[b]) ** 2).sum(1)
+    return np.sqrt(squares, out=squares)
 
 
 def _silhouette_sums(rows: DataFrame) -> DataFrame:
-    """(a, la, lb, d): mean distance of every row to the rows of every cluster but itself.  Rows are packed in
-    blocks, and every pair of blocks is one distance matrix, so pairs of rows are never rows of a table."""
+    """(a, la, lb, d): mean distance of every row to the rows of every cluster but itself.  Rows are packed in blocks; a
+    task takes two blocks and their distances tile by tile, once for both directions, so pairs of rows are never rows of a
+    table.  The work grows with the square of the rows, what a task holds does not grow."""
     ship_package(rows.sparkSession)
-    n_blocks = -(-rows.count() // SILHOUETTE_BLOCK) or 1
+    rows = materialize(rows, "rows")
+    n = rows.count()
+    size = min(SILHOUETTE_ROWS, max(SILHOUETTE_BLOCK, -(-n // SILHOUETTE_SPLIT)))
+    n_blocks, tile = -(-n // size) or 1, SILHOUETTE_BLOCK
     packed = rows.groupBy(F.pmod(F.xxhash64("pixel_id"), F.lit(n_blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("pixel_id", "v", "cluster")).alias("r"))
-    packed = packed.select("block", F.col("r.pixel_id").alias("pixel_id"), F.col("r.cluster").alias("cluster"), F.flatten("r.v").alias("v"))
-    # Every block against every block, dealt by both numbers.
-    left = packed.toDF("i", "ids", "ca", "va").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = left.join(packed.select(F.col("block").alias("j"), F.col("cluster").alias("cb"), F.col("v").alias("vb")), "j").repartition("i", "j").select("i", "j", "ids", "ca", "va", "cb", "vb")
+    packed = materialize(packed.select("block", F.col("r.pixel_id").alias("pixel_id"), F.col("r.cluster").alias("cluster"), F.flatten("r.v").alias("v")), "blocks")
+    # Every pair of blocks, dealt by both numbers.
+    left = packed.toDF("i", "ids", "ca", "va").withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(n_blocks - 1))))
+    right = packed.select(F.col("block").alias("j"), F.col("pixel_id").alias("jds"), F.col("cluster").alias("cb"), F.col("v").alias("vb"))
+    n_pairs = n_blocks * (n_blocks + 1) // 2
+    pairs = left.join(right, "j").select("i", "j", "ids", "ca", "va", "jds", "cb", "vb").repartition(n_pairs, "i", "j")
+
+    def sums(ids, own, other, total, same_block):
+        names, k = np.unique(other, return_inverse=True)
+        count = np.tile(np.bincount(k).astype(float), (len(ids), 1))
+        if same_block:  # the row itself, at distance 0
+            count[own[:, None] == names] -= 1
+        return pa.RecordBatch.from_pydict({"a": np.repeat(ids, len(names)), "la": np.repeat(own, len(names)).astype(np.int32), "lb": np.tile(names, len(ids)).astype(np.int32), "total": total.ravel(), "n": count.ravel()})
 
     def distances(batches):
-        for pdf in batches:
-            for p in pdf.itertuples(index=False):
-                x, y = np.asarray(p.va).reshape(len(p.ca), -1), np.asarray(p.vb).reshape(len(p.cb), -1)
-                squares = np.zeros((len(x), len(y)))
-                for f in range(x.shape[1]):
-                    squares += (x[:, f, None] - y[None, :, f]) ** 2
-                names, at = np.unique(p.cb, return_inverse=True)
-                member = np.eye(len(names))[at]
-                total, count = np.sqrt(squares) @ member, np.tile(member.sum(0), (len(x), 1))
-                if p.i == p.j:  # the row itself, at distance 0
-                    count[np.asarray(p.ca)[:, None] == names] -= 1
-                k = len(names)
-                yield pd.DataFrame({"a": np.repeat(p.ids, k), "la": np.repeat(p.ca, k), "lb": np.tile(names, len(x)), "total": total.ravel(), "n": count.ravel()})
-
-    sums = pairs.mapInPandas(distances, "a long, la int, lb int, total double, n double")
-    return sums.groupBy("a", "la", "lb").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).select("a", "la", "lb", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("d"))
+        for batch in batches:
+            for r in range(batch.num_rows):
+                i, j, ids, ca, va, jds, cb, vb = (batch.column(c)[r] for c in ("i", "j", "ids", "ca", "va", "jds", "cb", "vb"))
+                ids, ca, jds, cb = (np.array(c.values.to_numpy(zero_copy_only=False)) for c in (ids, ca, jds, cb))
+                x, y = (np.asarray(c.values.to_numpy(zero_copy_only=False)).reshape(len(k), -1) for c, k in ((va, ca), (vb, cb)))
+                same = i.as_py() == j.as_py()
+                member = [(np.unique(c)[:, None] == c).T.astype(float) for c in (ca, cb)]
+                to_b, to_a = np.zeros((len(x), member[1].shape[1])), np.zeros((len(y), member[0].shape[1]))
+                for p in range(0, len(x), tile):
+                    for q in range(0, len(y), tile):
+                        d = _distances(x[p : p + tile], y[q : q + tile])
+                        to_b[p : p + tile] += d @ member[1][q : q + tile]
+                        if not same:
+                            to_a[q : q + tile] += d.T @ member[0][p : p + tile]
+                yield sums(ids, ca, cb, to_b, same)
+                if not same:
+                    yield sums(jds, cb, ca, to_a, False)
+
+    found = pairs.mapInArrow(distances, "a long, la int, lb int, total double, n double")
+    return found.groupBy("a", "la", "lb").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).select("a", "la", "lb", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("d"))
 
 
 def silhouette(vectors: DataFrame, labels: DataFrame, max_subsample: int | None = 2000) -> DataFrame:

@@ -41,3 +41,15 @@ def test_query_takes_every_pixel_and_feature(spark):
     x, ids = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
     s, n = QUERIES["silhouette_given"](spark, SF).first()
     assert n == len(rows) and s == pytest.approx(brute(x, np.where((ids % 25 + ids // 25) % 7 < 3, 1, 2)), abs=2e-6)
+
+
+def test_pairs_of_blocks_are_taken_once(spark, monkeypatch):
+    """Tasks hold two whole blocks and use a tile of distances for both directions: n (n + 1) / 2 pairs of blocks."""
+    monkeypatch.setattr(clustering, "SILHOUETTE_BLOCK", 5)
+    monkeypatch.setattr(clustering, "SILHOUETTE_ROWS", 11)
+    rng = np.random.default_rng(8)
+    x, label = rng.normal(size=(50, 6)) + 100, rng.integers(1, 4, 50)
+    x[3:6] = x[3] + 1e-7 * rng.normal(size=(3, 6))  # the product form would lose these distances
+    rows = spark.createDataFrame([(i, x[i].tolist(), int(label[i])) for i in range(50)], "pixel_id long, v array<double>, cluster int")
+    s, n = clustering.silhouette(rows.select("pixel_id", "v"), rows.select("pixel_id", "cluster"), None).first()
+    assert n == 50 and s == pytest.approx(brute(x, label), abs=1e-9)
