@@ -239,7 +239,9 @@ def align_peaks(spectra: DataFrame, ppm: float = 10, min_detection: float = 0.0)
     offsets = at.groupBy("s").agg(F.sum("new").alias("bins")).select("s", F.coalesce(F.sum("bins").over(over_stripes.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     bins = bins.join(F.broadcast(offsets), "s").select("k", (F.col("b") + F.col("offset")).alias("b"))  # a row per stripe
     joined = peaks.withColumn("k", F.round(F.ln("mz") / unit).cast("long")).join(bins, "k")
-    centre = joined.groupBy("b").agg((F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity")).alias("center"), F.count_distinct("pixel_id").alias("n"))
+    # A bin may hold most peaks: sums per bin and pixel come first, so no row of a peak is dealt by its bin.
+    sums = joined.groupBy("b", "pixel_id").agg(F.sum("intensity").alias("value"), F.sum(F.col("mz") * F.col("intensity")).alias("moment"))
+    centre = sums.groupBy("b").agg((F.sum("moment") / F.sum("value")).alias("center"), F.count("pixel_id").alias("n"))
     total = spectra.agg(F.count_distinct("pixel_id").alias("total"))
     kept = centre.crossJoin(F.broadcast(total)).where(F.col("n") / F.col("total") >= min_detection).select("b", F.concat(F.lit("mz_"), F.format_string("%.6f", "center")).alias("feature"), (F.col("n") / F.col("total")).alias("detection_fraction"))  # one row
-    return joined.join(kept, "b").groupBy("pixel_id", "feature").agg(F.sum("intensity").alias("value"), F.first("detection_fraction").alias("detection_fraction"))
+    return sums.join(kept, "b").groupBy("pixel_id", "feature").agg(F.sum("value").alias("value"), F.first("detection_fraction").alias("detection_fraction"))

@@ -112,3 +112,12 @@ def test_aligned_peaks_know_no_stripe_edges(spark):
             expected.append(set())
         expected[-1].add(b)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected))
+
+
+def test_aligned_peaks_are_summed_before_bins_are_dealt(spark):
+    """All peaks in one bin: what is joined to the bins' names has a row per bin and pixel."""
+    spectra = spark.createDataFrame([(i, [200.0, 200.0001] * 50, [1.0, 3.0] * 50) for i in range(8)], "pixel_id long, mz array<double>, intensity array<double>")
+    out = formats.align_peaks(spectra, 10)
+    assert sorted(tuple(r) for r in out.collect()) == [(i, "mz_200.000075", 200.0, 1.0) for i in range(8)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(distinct" not in plan.split("Join")[1] and plan.count("sum(moment") >= 1
